@@ -15,11 +15,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from maillake.functions.instants import DEFAULT_ZONE, parse_instant
+from maillake.operators.lookup import lookup
 from maillake.session import scratch_path
 
 DICTIONARY_SCHEMA = "text string, source string, zone string, utc_micros bigint, written_year int, n bigint"
-#: A string with more than one in HOT_SHARE of the rows is hot; there are fewer than HOT_SHARE of them.
-HOT_SHARE = 1000
 
 
 def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -84,15 +83,7 @@ def with_instant(
     entries = extend_dictionary(keys, path)
     # A kept dictionary may hold an entry twice if two runs extended it at the same time.
     entries = entries.groupBy("text", "source", "zone").agg(F.first("utc_micros").alias("utc_micros"), F.sum("n").alias("n")) if dictionary else entries
-    total = entries.agg(F.sum("n")).first()[0] or 0
-    named = entries.select(
-        F.col("text").alias("_mk_text"), F.col("source").alias("_mk_source"), F.col("zone").alias("_mk_zone"),
-        F.col("utc_micros").alias("_mk_micros"), (F.col("n") * HOT_SHARE > total).alias("_mk_hot"),
-    )
-    on = ["_mk_text", "_mk_source", "_mk_zone"]
-    hot = named.where("_mk_hot").drop("_mk_hot").withColumnRenamed("_mk_micros", "_mk_hot_micros").withColumn("_mk_is_hot", F.lit(True))
-    marked = keyed.join(F.broadcast(hot), on, "left")
-    done = marked.where(F.col("_mk_is_hot") | F.col("_mk_text").isNull()).withColumn(out, F.col("_mk_hot_micros"))
-    rest = marked.where(F.col("_mk_is_hot").isNull() & F.col("_mk_text").isNotNull()).join(named.where("NOT _mk_hot").drop("_mk_hot"), on, "left").withColumn(out, F.col("_mk_micros")).drop("_mk_micros")
-    keep = [c for c in df.columns if c != out] + [out]
-    return done.select(*keep).unionByName(rest.select(*keep))
+    named = entries.select(*(F.col(c).alias(f"_mk_{c}") for c in ("text", "source", "zone")), F.col("utc_micros").alias("_mk_micros"), "n")
+    keep = [c for c in df.columns if c != out]
+    found = lookup(keyed, named, ["_mk_text", "_mk_source", "_mk_zone"])
+    return found.select(*keep, F.col("_mk_micros").alias(out))
