@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from maillake.llm import pii
+from maillake.llm import authored, pii
 from maillake.sources.tables import table
 
 #: Key of the surrogates in the queries; a deployment brings its own secret.
@@ -24,5 +24,11 @@ def p1_placeholders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.redact(table(spark, sf_dir, "emails").select("message_id", "body_clean"), "body_clean", names)
 
 
-QUERIES = {"p1_found": p1_found, "p1_placeholders": p1_placeholders}
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = pii.name_model(table(spark, sf_dir, "people"))
+    mails = authored.archive_mails(table(spark, sf_dir, "raw_emails"), table(spark, sf_dir, "emails"))
+    return authored.not_own_lines(mails, names).select("tbl", "row_key", "line_no")
+
+
+QUERIES = {"p7_found": p7_found, "p1_found": p1_found, "p1_placeholders": p1_placeholders}
 ORACLES: dict[str, str] = {}
