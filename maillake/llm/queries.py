@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from maillake.llm import authored, pii
+from maillake.llm import authored, copies, digests, encoding, packing, pii, repetition
 from maillake.sources.tables import table
 
 #: Key of the surrogates in the queries; a deployment brings its own secret.
@@ -24,11 +24,66 @@ def p1_placeholders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.redact(table(spark, sf_dir, "emails").select("message_id", "body_clean"), "body_clean", names)
 
 
+def p3_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = table(spark, sf_dir, "reply_pairs")
+    return digests.percentiles(pairs, ["replier"], F.col("response_minutes"), part=F.to_date("reply_sent_at").cast("string"))
+
+
+def p3_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of single days, to be combined by ``digests.merge``."""
+    days = table(spark, sf_dir, "reply_pairs").withColumn("day", F.to_date("reply_sent_at"))
+    return digests.digest(days, ["replier", "day"], F.col("response_minutes"))
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = pii.name_model(table(spark, sf_dir, "people"))
     mails = authored.archive_mails(table(spark, sf_dir, "raw_emails"), table(spark, sf_dir, "emails"))
     return authored.not_own_lines(mails, names).select("tbl", "row_key", "line_no")
 
 
-QUERIES = {"p7_found": p7_found, "p1_found": p1_found, "p1_placeholders": p1_placeholders}
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    emails = table(spark, sf_dir, "emails")
+    grouped = copies.group_copies(emails, "message_id", copies.canonical_mail(emails))
+    return grouped.where(F.col("message_id") != F.col("first_id")).select("first_id", F.col("message_id").alias("copy_id"))
+
+
+def p6_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One record each with its number of copies."""
+    emails = table(spark, sf_dir, "emails")
+    grouped = copies.group_copies(emails, "message_id", copies.canonical_mail(emails))
+    return grouped.where(F.col("message_id") == F.col("first_id")).select("message_id", "copies")
+
+
+def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encoding.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), "text").select("doc_id", "ids")
+
+
+def p8_decoded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact round trip: the texts back from their ids (null and empty as empty)."""
+    return encoding.decode(p8_ids(spark, sf_dir)).select("doc_id", "decoded")
+
+
+def p9_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sizes = p8_ids(spark, sf_dir).select("doc_id", F.size("ids").alias("tokens"))
+    return packing.pack(sizes, "doc_id", "tokens")
+
+
+def p9_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.fill_report(p9_bins(spark, sf_dir))
+
+
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repetition.repetitive(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+def p10_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repetition.repetition(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+QUERIES = {
+    "p3_percentiles": p3_percentiles, "p3_daily": p3_daily,
+    "p8_ids": p8_ids, "p8_decoded": p8_decoded, "p9_bins": p9_bins, "p9_fill": p9_fill,
+    "p7_found": p7_found, "p6_found": p6_found, "p6_records": p6_records, "p10_found": p10_found, "p10_shares": p10_shares,
+    "p1_found": p1_found, "p1_placeholders": p1_placeholders,
+}
 ORACLES: dict[str, str] = {}
