@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from maillake.llm import authored, copies, digests, encoding, packing, pii, repetition
+from maillake.llm.oracles import SQL
 from maillake.sources.tables import table
 
 #: Key of the surrogates in the queries; a deployment brings its own secret.
@@ -26,7 +27,8 @@ def p1_placeholders(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p3_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = table(spark, sf_dir, "reply_pairs")
-    return digests.percentiles(pairs, ["replier"], F.col("response_minutes"), part=F.to_date("reply_sent_at").cast("string"))
+    found = digests.percentiles(pairs, ["replier"], F.col("response_minutes"), part=F.to_date("reply_sent_at").cast("string"))
+    return found.select("replier", "n", *(F.round(c, 4).alias(c) for c in digests.QUANTILES), F.round("rank_error", 6).alias("rank_error"), "certified")
 
 
 def p3_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -86,4 +88,4 @@ QUERIES = {
     "p7_found": p7_found, "p6_found": p6_found, "p6_records": p6_records, "p10_found": p10_found, "p10_shares": p10_shares,
     "p1_found": p1_found, "p1_placeholders": p1_placeholders,
 }
-ORACLES: dict[str, str] = {}
+ORACLES = SQL
