@@ -41,7 +41,7 @@ def cluster(group: np.ndarray, mean: np.ndarray, weight: np.ndarray, pure: np.nd
 
     ``group``: numbers from 0. ``pure``: all values of the centroid are its mean.
     Equal pure centroids become one. Groups of up to ``size`` centroids stay as
-    they are; so does a centroid that alone spans half a unit of the size
+    they are; so does a pure centroid that alone spans half a unit of the size
     function, or a much repeated value would blur its neighbours.
     """
     if not len(group):
@@ -57,7 +57,7 @@ def cluster(group: np.ndarray, mean: np.ndarray, weight: np.ndarray, pure: np.nd
     before = np.cumsum(weight) - weight
     before = before - np.repeat(before[starts], count)
     unit = np.floor(scale((before + weight / 2) / total, size))
-    heavy = scale((before + weight) / total, size) - scale(before / total, size) > 0.5
+    heavy = pure & (scale((before + weight) / total, size) - scale(before / total, size) > 0.5)
     alone = np.repeat(count <= size, count) | heavy
     unit = np.where(alone, -1.0 - np.arange(len(unit)), unit)
     at = np.flatnonzero(np.concatenate([[True], (group[1:] != group[:-1]) | (unit[1:] != unit[:-1])]))

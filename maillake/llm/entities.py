@@ -98,6 +98,9 @@ _NUMBER_LAST_WORDS = ("weg", "straße", "strasse", "str.", "gasse", "platz", "al
 _FIRST_OF_TWO = frozenset(("cinder", "old", "new", "upper", "lower", "grand", "alte", "alter", "am", "saint", "st"))
 
 
+_VOWELS = frozenset("aeiouäöüy")
+
+
 class Found(NamedTuple):
     kind: str
     start: int
@@ -121,7 +124,8 @@ class NameModel:
         for f in self.family:
             for k in range(2, len(f) - 1):
                 following.setdefault(f[:k], set()).add(f[k])
-        self.starts = {s for s, letters in following.items() if len(letters) > 1}
+        # A beginning is one where several endings branch off, or where a consonant meets a vowel.
+        self.starts = {s for s, letters in following.items() if len(letters) > 1 or (len(s) > 2 and s[-1] not in _VOWELS and letters <= _VOWELS)}
         self.ends = {f[k:] for f in self.family for k in range(2, len(f) - 1)}
         self.is_family = lru_cache(maxsize=100_000)(self._is_family)
         self.automaton = ahocorasick.Automaton()
@@ -279,7 +283,10 @@ def find(text: str, names: NameModel | None) -> list[Found]:
             if local := EMAIL_LOCAL.search(view, max(0, m.start() - 64), m.start()):
                 found.append(Found("email", local.start(), m.end(), lower[local.start() : m.end()]))
     if " dot " in lower or "dot)" in lower or "dot]" in lower or "at)" in lower or "at]" in lower or "at}" in lower:
-        found += [Found("email", m.start(), m.end(), email_canon(m[0])) for m in EMAIL_SPELLED.finditer(view)]
+        for m in EMAIL_SPELLED.finditer(view):
+            # With a bare "at" only what has the look of a mailbox counts, not a sentence.
+            if any(c in m[0] for c in "([{") or not m[0].split(None, 1)[0].isalpha():
+                found.append(Found("email", m.start(), m.end(), email_canon(m[0])))
     for a, b in _lines_with_digits(view):
         found += _numbered(view, lower, a, b)
     if names is not None:
