@@ -98,6 +98,8 @@ _NUMBER_LAST_WORDS = ("weg", "straße", "strasse", "str.", "gasse", "platz", "al
 _FIRST_OF_TWO = frozenset(("cinder", "old", "new", "upper", "lower", "grand", "alte", "alter", "am", "saint", "st"))
 
 
+#: A name ends here: no letter goes on and no mailbox begins; "@OFFICE" of a directory may follow.
+_NAME_ENDS = r"(?![^\W\d]|@[\w-]+\.\w)"
 _VOWELS = frozenset("aeiouäöüy")
 
 
@@ -127,6 +129,8 @@ class NameModel:
         # A beginning is one where several endings branch off, or where a consonant meets a vowel.
         self.starts = {s for s, letters in following.items() if len(letters) > 1 or (len(s) > 2 and s[-1] not in _VOWELS and letters <= _VOWELS)}
         self.ends = {f[k:] for f in self.family for k in range(2, len(f) - 1)}
+        # The vowel that links both parts varies freely before a longer ending.
+        self.cores = {e[1:] for e in self.ends if len(e) > 3 and e[0] in _VOWELS}
         self.is_family = lru_cache(maxsize=100_000)(self._is_family)
         self.automaton = ahocorasick.Automaton()
         for g in self.given:
@@ -139,11 +143,11 @@ class NameModel:
         initial = rf"(?:{_S}+[^\W\d_]\.?)?"
         word = r"[^\W\d_]+"
         #: Right of a given name: more given names, an initial, then the word that may be the family name.
-        self.after = re.compile(rf"(?:-(?:{given_words}))?{initial}{_S}+(?P<f>{word})(?![^\W\d_]|[@_])", re.IGNORECASE)
+        self.after = re.compile(rf"(?:-(?:{given_words}))?{initial}{_S}+(?P<f>{word}){_NAME_ENDS}", re.IGNORECASE)
         #: Left of a given name: the family name and a comma.
         self.before = re.compile(rf"(?P<f>{word}),{_S}*$")
         self.tail = re.compile(rf"(?:-(?:{given_words}))?(?:{_S}+[^\W\d_]\.)?(?![^\W\d_])", re.IGNORECASE)
-        self.full = re.compile(rf"(?P<f>{word})(?![^\W\d_]|[@_])")
+        self.full = re.compile(rf"(?P<f>{word}){_NAME_ENDS}")
 
     def __reduce__(self):
         return NameModel, (sorted(self.given), sorted(self.family))
@@ -154,7 +158,11 @@ class NameModel:
         if not 5 <= len(token) <= 16 or token in self.given:
             return False
         # A beginning of two letters says little, so it needs an ending of three.
-        return any(token[:k] in self.starts and token[k:] in self.ends for k in range(2, len(token) - 1) if k > 2 or len(token) - k > 2)
+        return any(
+            token[:k] in self.starts and (token[k:] in self.ends or (token[k] in _VOWELS and token[k + 1 :] in self.cores))
+            for k in range(2, len(token) - 1)
+            if k > 2 or len(token) - k > 2
+        )
 
     def find(self, text: str, lower: str) -> list[Found]:
         out: list[Found] = []
