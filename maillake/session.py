@@ -49,3 +49,9 @@ def materialise(spark: SparkSession, df, name: str):
     path = scratch_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete all intermediate tables of the shared folder; no result that is still lazy may be used after it."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/maillake")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
