@@ -7,82 +7,111 @@ repeated. Runs that share a hash are compared word by word, so no collision coun
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 
-WORD = regex.compile(r"[\p{L}\p{N}]+")
+#: Runs of letters and digits.
+WORD = re.compile(r"[^\W_]+")
 LENGTHS = (2, 3, 5, 10)
 RUN = 5
 LEAST_SHARE = 0.3
+#: Words that are hashed and sorted at once.
+CHUNK_WORDS = 400_000
 _BASE = np.uint64(0x9E3779B97F4A7C15)
+_APART = np.uint64(0xC2B2AE3D27D4EB4F)
 
 
-def repeated_words(ids: np.ndarray, n: int) -> np.ndarray:
+def repeated_words(ids: np.ndarray, n: int, doc: np.ndarray | None = None) -> np.ndarray:
     """Which words lie in a run of ``n`` words that began earlier too.
 
-    ``ids``: equal numbers for equal words. Runs may overlap.
+    ``ids``: equal numbers for equal words. ``doc``: the document of each word,
+    ascending; runs lie within one document. Runs may overlap.
     """
     m = len(ids) - n + 1
-    out = np.zeros(len(ids), bool)
     if m < 2:
-        return out
+        return np.zeros(len(ids), bool)
+    doc = np.zeros(len(ids), np.int64) if doc is None else doc
     h = np.zeros(m, np.uint64)
     for k in range(n):
         h = h * _BASE + ids[k : k + m].astype(np.uint64) + np.uint64(1)
-    _, first, inverse = np.unique(h, return_index=True, return_inverse=True)
-    origin = first[inverse]
-    again = np.flatnonzero(origin < np.arange(m))
-    if len(again):
-        same = np.ones(len(again), bool)
-        for k in range(n):
-            same &= ids[again + k] == ids[origin[again] + k]
-        if not same.all():  # a collision: these runs are compared exactly
-            seen: dict[tuple, int] = {}
-            for i in range(m):
-                seen.setdefault(tuple(ids[i : i + n]), i)
-            again = np.array([i for i in range(m) if seen[tuple(ids[i : i + n])] < i], np.int64)
-        edges = np.zeros(len(ids) + 1, np.int64)
-        np.add.at(edges, again, 1)
-        np.add.at(edges, again + n, -1)
-        out = np.cumsum(edges[:-1]) > 0
-    return out
+    h ^= (doc[:m].astype(np.uint64) + np.uint64(1)) * _APART
+    at = np.flatnonzero(doc[:m] == doc[n - 1 :])
+    order = np.argsort(h[at], kind="stable")
+    sorted_h = h[at][order]
+    new = np.flatnonzero(np.concatenate([[True], sorted_h[1:] != sorted_h[:-1]])) if len(at) else order
+    origin = np.empty(len(at), np.int64)
+    origin[order] = np.repeat(at[order[new]], np.diff(np.append(new, len(at))))
+    again, first = at[origin < at], origin[origin < at]
+    same = doc[again] == doc[first]
+    for k in range(n):
+        same &= ids[again + k] == ids[first + k]
+    if not same.all():  # a collision: the runs are compared exactly
+        seen: dict[tuple, int] = {}
+        again = np.array([i for i in at.tolist() if seen.setdefault((doc[i], *ids[i : i + n].tolist()), i) < i], np.int64)
+    edges = np.zeros(len(ids) + 1, np.int64)
+    edges[: m] += np.bincount(again, minlength=m)
+    edges[n : n + m] -= np.bincount(again, minlength=m)
+    return np.cumsum(edges[:-1]) > 0
+
+
+def _line_share(text: str) -> float:
+    lines = [x for x in map(str.strip, text.split("\n")) if x]
+    seen: set[str] = set()
+    again = 0
+    for x in lines:
+        if x in seen:
+            again += len(x)
+        else:
+            seen.add(x)
+    return again / sum(map(len, lines)) if lines else 0.0
 
 
-def measure(text: str | None) -> dict | None:
-    """Shares of repeated words, characters and lines of one text; None for null.
+def measure_all(texts: list[str | None]) -> list[dict | None]:
+    """Shares of repeated words, characters and lines of each text; None for null.
 
-    A text without words has no repeated share (0).
+    A text without words has no repeated share (0). Many texts are measured
+    together, so short ones cost no more than their words.
     """
-    if text is None:
-        return None
-    spans = [(m.start(), m.end()) for m in WORD.finditer(text)]
-    numbers: dict[str, int] = {}
-    low = text.lower() if len(text.lower()) == len(text) else None
-    words = [low[a:b] for a, b in spans] if low is not None else [text[a:b].lower() for a, b in spans]
-    ids = np.fromiter((numbers.setdefault(w, len(numbers)) for w in words), np.int64, len(words))
-    size = np.array([b - a for a, b in spans], np.int64)
-    total = int(size.sum())
-    out = {"n_words": len(ids)}
-    for n in LENGTHS:
-        mask = repeated_words(ids, n)
-        out[f"chars_{n}"] = float(size[mask].sum() / total) if total else 0.0
-        if n == RUN:
-            out["n_repeated"] = int(mask.sum())
-    lines = [x.strip() for x in text.split("\n")]
-    lines = [x for x in lines if x]
-    seen: set[str] = set()
-    again = 0
-    for x in lines:
-        again += len(x) if x in seen else 0
-        seen.add(x)
-    out["line_chars"] = again / sum(map(len, lines)) if lines else 0.0
+    out: list[dict | None] = []
+    k = 0
+    while k < len(texts):
+        words: list[str] = []
+        counts: list[int] = []
+        first = k
+        while k < len(texts) and len(words) < CHUNK_WORDS:
+            own = WORD.findall(texts[k]) if texts[k] else []
+            words += own
+            counts.append(len(own))
+            k += 1
+        numbers: dict[str, int] = {}
+        ids = np.array([numbers.setdefault(w.lower(), len(numbers)) for w in words], np.int64)
+        size = np.fromiter(map(len, words), np.int64, len(words))
+        doc = np.repeat(np.arange(len(counts)), counts)
+        total = np.bincount(doc, weights=size, minlength=len(counts))
+        shares, repeated = {}, None
+        for n in LENGTHS:
+            mask = repeated_words(ids, n, doc)
+            chars = np.bincount(doc[mask], weights=size[mask], minlength=len(counts))
+            shares[n] = np.divide(chars, total, out=np.zeros(len(counts)), where=total > 0)
+            if n == RUN:
+                repeated = np.bincount(doc[mask], minlength=len(counts))
+        for i, text in enumerate(texts[first:k]):
+            if text is None:
+                out.append(None)
+                continue
+            row = {"n_words": counts[i], "n_repeated": int(repeated[i]), "line_chars": _line_share(text)}
+            out.append(row | {f"chars_{n}": float(shares[n][i]) for n in LENGTHS})
     return out
 
 
+def measure(text: str | None) -> dict | None:
+    return measure_all([text])[0]
+
+
 SHARE_COLUMNS = ["n_words", "n_repeated", *(f"chars_{n}" for n in LENGTHS), "line_chars"]
 
 
@@ -98,7 +127,7 @@ def repetition(df: DataFrame, key: str, text: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            got = [measure(t) for t in b.column(1).to_pylist()]
+            got = measure_all(b.column(1).to_pylist())
             cols = [pa.array([None if g is None else g[c] for g in got], pa.int64() if c.startswith("n_") else pa.float64()) for c in SHARE_COLUMNS]
             share = pa.array([None if g is None else g["n_repeated"] / g["n_words"] if g["n_words"] else 0.0 for g in got], pa.float64())
             yield pa.RecordBatch.from_arrays([b.column(0), *cols, share], [key, *SHARE_COLUMNS, "repeated_share"])

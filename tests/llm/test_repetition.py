@@ -23,6 +23,15 @@ def test_like_a_set_of_runs(ids, n):
     assert R.repeated_words(np.array(ids, np.int64), n).tolist() == slow(ids, n)
 
 
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.one_of(st.none(), st.text(alphabet="aA b.\n", max_size=60)), max_size=12))
+def test_together_like_one_by_one(texts):
+    assert R.measure_all(texts) == [R.measure(t) for t in texts]
+    for t, m in zip(texts, R.measure_all(texts)):
+        words = [w.lower() for w in regex.findall(r"[\p{L}\p{N}]+", t or "")]
+        assert (m is None) == (t is None) and (t is None or m["n_repeated"] == sum(slow(words, 5)))
+
+
 def test_collisions_do_not_count(monkeypatch):
     monkeypatch.setattr(R, "_BASE", np.uint64(1))  # now every order of the same words collides
     ids = [0, 1, 2, 3, 4, 4, 3, 2, 1, 0, 0, 1, 2, 3, 4]
