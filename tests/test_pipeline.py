@@ -35,3 +35,11 @@ def test_scratch_is_cleared(spark):
     clear_scratch(spark)
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     assert not where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+
+
+def test_dictionary_is_current():
+    from pathlib import Path
+
+    from maillake.operators import catalog
+
+    assert (Path(__file__).resolve().parents[1] / "docs" / "data_dictionary.md").read_text() == catalog.render_dictionary()
