@@ -8,6 +8,7 @@ stands.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from functools import lru_cache
 from typing import NamedTuple
 
@@ -89,7 +90,7 @@ STREET_NUMBER_LAST = re.compile(
 TITLES = ["mr", "mrs", "ms", "miss", "dr", "prof", "herr", "frau", "fräulein", "mme", "mlle", "monsieur", "madame", "señor", "señora", "sr", "sra"]
 _TITLE = re.compile(rf"(?<![^\W_])(?:{'|'.join(TITLES)})\b\.*{_S}+", re.IGNORECASE)
 _NEXT_WORD = re.compile(rf",{_S}*([^\W\d_]+)")
-_SOFT = re.compile(r"=\r?\n")
+_SOFT = re.compile(r"(?<!=)=\r?\n")
 _DIGIT = re.compile(r"\d")
 # Parts of the words that ID_NAMED and STREET_NUMBER_LAST need, for a quick look.
 _ID_STEMS = ("passport", "reisepass", "pasaporte", "passeport", "ausweis", "ssn", "secur", "sec", "tax id", "tin", "insur", "number", "nino", "licen", "card")
@@ -274,16 +275,9 @@ def find(text: str, names: NameModel | None) -> list[Found]:
     """
     if not text:
         return []
-    cuts = None
-    view = text
+    view, cuts = text, None
     if "=\n" in text or "=\r\n" in text:
-        cuts, kept, at = [], [], 0
-        for m in _SOFT.finditer(text):
-            kept.append(text[at : m.start()])
-            cuts.append((sum(map(len, kept)), m.end() - m.start()))
-            at = m.end()
-        kept.append(text[at:])
-        view = "".join(kept)
+        view, cuts = _without_soft_breaks(text)
     lower = _lower(view)
     found: list[Found] = []
     if "@" in view:
@@ -313,9 +307,23 @@ def find(text: str, names: NameModel | None) -> list[Found]:
     return out
 
 
-def _back(at: int, cuts: list[tuple[int, int]], is_end: bool) -> int:
+def _without_soft_breaks(text: str) -> tuple[str, tuple[list[int], list[int]]]:
+    """The text without soft breaks; their places in it and how much was cut up to each."""
+    kept, places, cut, at, size = [], [], [0], 0, 0
+    for m in _SOFT.finditer(text):
+        kept.append(text[at : m.start()])
+        size += m.start() - at
+        places.append(size)
+        cut.append(cut[-1] + m.end() - m.start())
+        at = m.end()
+    kept.append(text[at:])
+    return "".join(kept), (places, cut)
+
+
+def _back(at: int, cuts: tuple[list[int], list[int]], is_end: bool) -> int:
     """Place in the text as it stands of a place in the view."""
-    return at + sum(size for place, size in cuts if place < at or (place == at and not is_end))
+    places, cut = cuts
+    return at + cut[bisect_left(places, at) if is_end else bisect_right(places, at)]
 
 
 def phone_canon(text: str) -> str:
