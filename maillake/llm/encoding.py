@@ -14,8 +14,10 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructType
 
 from maillake.operators.lookup import lookup
 from maillake.session import materialise
@@ -62,10 +64,28 @@ def word_table(df: DataFrame, text: str, path: str = TOKENIZER) -> DataFrame:
     return materialise(df.sparkSession, counted.mapInArrow(_encode_words(path), "word string, n bigint, word_ids array<int>"), "words")
 
 
-def frequent_words(table: DataFrame, most: int = FREQUENT_WORDS) -> dict[str, np.ndarray]:
+def frequent_words(table: DataFrame, most: int = FREQUENT_WORDS) -> tuple[pa.Array, pa.ListArray]:
     """The most frequent words and their ids: ``most`` rows at the most."""
-    rows = table.where(F.length("word") <= LONGEST_FREQUENT).orderBy(F.desc("n"), "word").select("word", "word_ids").limit(most)
-    return {r["word"]: np.array(r["word_ids"], np.int32) for r in rows.collect()}
+    rows = table.where(F.length("word") <= LONGEST_FREQUENT).orderBy(F.desc("n"), "word").select("word", "word_ids").limit(most).collect()
+    return pa.array([r["word"] for r in rows], pa.string()), pa.array([r["word_ids"] for r in rows], pa.list_(pa.int32()))
+
+
+def _look_up(words: pa.ListArray, known: pa.Array, known_ids: pa.ListArray) -> tuple[pa.ListArray, pa.ListArray]:
+    """Per text the ids of its known words, and its other words with their place
+    among the words (pos) and among these ids (at). Null texts have neither."""
+    counts = pc.fill_null(words.value_lengths(), 0).to_numpy()
+    start = np.concatenate([[0], np.cumsum(counts)])
+    values = words.flatten()
+    codes = pc.index_in(values, value_set=known)
+    ids = known_ids.take(codes)
+    size = np.concatenate([[0], np.cumsum(pc.fill_null(ids.value_lengths(), 0).to_numpy())])
+    flat = pa.ListArray.from_arrays(pa.array(size[start], pa.int32()), ids.flatten())
+    other = np.flatnonzero(pc.is_null(codes).to_numpy(zero_copy_only=False))
+    text = np.searchsorted(start, other, "right") - 1
+    places = pa.StructArray.from_arrays(
+        [pa.array(other - start[text], pa.int32()), pa.array(size[other] - size[start[text]], pa.int32()), values.take(pa.array(other)).cast(pa.string())], ["pos", "at", "word"]
+    )
+    return flat, pa.ListArray.from_arrays(pa.array(np.searchsorted(other, start), pa.int32()), places)
 
 
 def encode(df: DataFrame, text: str, out: str = "ids", path: str = TOKENIZER, frequent: int = FREQUENT_WORDS) -> DataFrame:
@@ -79,26 +99,14 @@ def encode(df: DataFrame, text: str, out: str = "ids", path: str = TOKENIZER, fr
     table = word_table(df, text, path)
     known = spark.sparkContext.broadcast(frequent_words(table, frequent))
 
-    @F.pandas_udf("struct<flat:array<int>,rare:array<struct<pos:int,at:int,word:string>>>")
-    def first_pass(texts):
-        import pandas as pd
+    def first_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            flat, rare = _look_up(b.column(len(kept)), *known.value)
+            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(kept))), flat, rare], [*kept, "_mk_flat", "_mk_rare"])
 
-        ids_of = known.value
-        flats, rares = [], []
-        for words in texts:
-            parts, rare, at = [], [], 0
-            for k, w in enumerate(() if words is None else words):
-                ids = ids_of.get(w)
-                if ids is None:
-                    rare.append({"pos": k, "at": at, "word": w})
-                else:
-                    parts.append(ids)
-                    at += len(ids)
-            flats.append(np.concatenate(parts) if parts else np.zeros(0, np.int32))
-            rares.append(rare)
-        return pd.DataFrame({"flat": flats, "rare": rares})
-
-    rows = df.withColumn("_mk_e", first_pass(words_of(text))).select(*kept, F.col("_mk_e.flat").alias("_mk_flat"), F.col("_mk_e.rare").alias("_mk_rare"))
+    split = df.select(*kept, words_of(text).alias("_mk_words"))
+    schema = StructType([*split.schema.fields[: len(kept)]]).add("_mk_flat", ArrayType(IntegerType())).add("_mk_rare", ArrayType(StructType().add("pos", IntegerType()).add("at", IntegerType()).add("word", StringType())))
+    rows = split.mapInArrow(first_pass, schema)
     # Written once, so the row numbers stay the same for all that follows.
     rows = materialise(spark, rows.withColumn("_mk_row", F.monotonically_increasing_id()), "encoded")
     done = rows.where(F.size("_mk_rare") == 0).select(*kept, F.col("_mk_flat").alias(out))
