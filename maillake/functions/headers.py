@@ -5,10 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Month names by position: every third letter starts one.
-_MONTHS = "janfebmaraprmayjunjulaugsepoctnovdec"
-#: Day, month, year, hour:minute, optional seconds, optional offset.
-_DATE_PARTS = r"^(\d{1,2}) ([A-Za-z]{3}) (\d{4}) (\d{2}:\d{2})(:\d{2})?( [+-]\d{4})?$"
+# Notations of Date headers that are read, with and without offset.
+WITH_OFFSET = ["d MMM yyyy HH:mm:ss Z", "d MMM yyyy HH:mm Z"]
+WITHOUT_OFFSET = ["d MMM yyyy HH:mm:ss", "d MMM yyyy HH:mm"]
 
 
 def unix_lines(message: Column) -> Column:
@@ -52,24 +51,13 @@ def with_dates(df: DataFrame, value: str) -> DataFrame:
     """``df`` plus ``sent_at`` (the instant of a Date header with numeric offset)
     and ``sent_at_local`` (its wall clock as written); null if it can't be read.
 
-    Step by step, so that no part is computed twice in one expression.
+    The tidied header is a step of its own, so it isn't computed for each notation.
     """
-    bare = F.regexp_replace(F.regexp_replace(value, r"\s*\([^)]*\)\s*$", ""), r"^[A-Za-z]{3},\s*", "")
-    part = lambda k: F.regexp_extract("_bare", _DATE_PARTS, k)
-    parts = F.struct(*(part(k).alias(n) for k, n in enumerate(("d", "m", "y", "t", "s", "o"), 1)))
-    place = F.instr(F.lit(_MONTHS), F.lower("_p.m"))
-    month = F.lpad(F.floor((F.col("_place") + 2) / 3).cast("string"), 2, "0")
-    text = F.concat("_p.y", F.lit("-"), month, F.lit("-"), F.lpad("_p.d", 2, "0"), F.lit(" "), "_p.t", F.when(F.col("_p.s") == "", F.lit(":00")).otherwise(F.col("_p.s")))
-    offset = F.concat(F.substring("_p.o", 2, 3), F.lit(":"), F.substring("_p.o", 5, 2))
-    steps = (
-        df.withColumn("_bare", F.trim(F.regexp_replace(bare, r"\s+", " ")))
-        .withColumn("_p", parts)
-        .withColumn("_place", F.when(F.col("_p.y") != "", place))
-        .withColumn("_text", F.when(F.col("_place") % 3 == 1, text))
-    )
-    return steps.withColumns(
-        {"sent_at": F.when(F.col("_p.o") != "", F.concat("_text", offset)).try_cast("timestamp"), "sent_at_local": F.col("_text").try_cast("timestamp_ntz")}
-    ).drop("_bare", "_p", "_place", "_text")
+    tidy = F.regexp_replace(F.regexp_replace(value, r"\s*\([^)]*\)\s*$", ""), r"^[A-Za-z]{3},\s*", "")
+    read = lambda text, notations: F.coalesce(*(F.try_to_timestamp(text, F.lit(n)) for n in notations))
+    step = df.withColumn("_bare", F.trim(F.regexp_replace(tidy, r"\s+", " ")))
+    wall = F.regexp_replace("_bare", r"\s*[+-]\d{4}$", "")
+    return step.withColumns({"sent_at": read(F.col("_bare"), WITH_OFFSET), "sent_at_local": read(wall, WITHOUT_OFFSET).cast("timestamp_ntz")}).drop("_bare")
 
 
 def source_system(file_name: Column) -> Column:

@@ -62,8 +62,12 @@ def with_reason(parsed: DataFrame, rules: dict[str, Column] | None = None) -> Da
 
 
 def split_by_quality(parsed: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(rows that pass, quarantined rows with reason and quarantined_at)."""
-    judged = with_reason(parsed)
+    """(rows that pass, quarantined rows with reason and quarantined_at).
+
+    Judged rows are written once for both; a filter on an expression would
+    repeat the parsing that it is made of.
+    """
+    judged = materialise(parsed.sparkSession, with_reason(parsed), "judged")
     return judged.where("reason IS NULL").drop("reason"), judged.where("reason IS NOT NULL").withColumn("quarantined_at", F.current_timestamp())
 
 

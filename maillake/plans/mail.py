@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from maillake.functions import clock, headers, rules, text
 from maillake.operators import analytics, catalog, features, mail, priority
+from maillake.session import materialise
 from maillake.sources.files import null_audit
 from maillake.sources.tables import table
 
@@ -72,7 +73,8 @@ def clock_fix(spark, d):
 
 
 def _judged(spark, d):
-    return mail.with_reason(mail.parse_messages(_raw(spark, d)))
+    judged = mail.with_reason(mail.parse_messages(_raw(spark, d))).select("file", "message_id", "sender", "reason")
+    return materialise(spark, judged, "judged")
 
 
 def quality_pass(spark, d):
