@@ -55,3 +55,11 @@ def clear_scratch(spark: SparkSession) -> None:
     """Delete all intermediate tables of the shared folder; no result that is still lazy may be used after it."""
     path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/maillake")
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def spread(df):
+    """``df``, a plain scan, over all cores if its files have fewer splits than
+    there are cores: heavy work per row on a few small files. Larger inputs are
+    returned as they are; nothing of them is shuffled."""
+    wanted = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(wanted) if df._jdf.queryExecution().toRdd().getNumPartitions() < wanted else df
