@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from maillake.llm import authored, copies, digests, encoding, packing, pii, repetition
 from maillake.llm.oracles import SQL
+from maillake.session import spread
 from maillake.sources.tables import table
 
 #: Key of the surrogates in the queries; a deployment brings its own secret.
@@ -15,7 +16,7 @@ DEMO_KEY = b"maillake-demo-key"
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = pii.name_model(table(spark, sf_dir, "people"))
-    texts = pii.archive_texts(table(spark, sf_dir, "raw_emails"), table(spark, sf_dir, "emails"))
+    texts = spread(pii.archive_texts(table(spark, sf_dir, "raw_emails"), table(spark, sf_dir, "emails")))
     found = pii.with_surrogates(pii.find_entities(texts, names), DEMO_KEY)
     return found.where(F.col("surrogate").isNotNull()).select("tbl", "row_key", "kind", "found_text").distinct()
 
@@ -39,7 +40,7 @@ def p3_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = pii.name_model(table(spark, sf_dir, "people"))
-    mails = authored.archive_mails(table(spark, sf_dir, "raw_emails"), table(spark, sf_dir, "emails"))
+    mails = spread(authored.archive_mails(table(spark, sf_dir, "raw_emails"), table(spark, sf_dir, "emails")))
     return authored.not_own_lines(mails, names).select("tbl", "row_key", "line_no")
 
 
@@ -57,7 +58,7 @@ def p6_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return encoding.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), "text").select("doc_id", "ids")
+    return encoding.encode(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), "text").select("doc_id", "ids")
 
 
 def p8_decoded(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,7 +76,7 @@ def p9_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repetition.repetitive(table(spark, sf_dir, "documents"), "doc_id", "text")
+    return repetition.repetitive(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), "doc_id", "text")
 
 
 def p10_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
