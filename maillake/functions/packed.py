@@ -79,7 +79,7 @@ class CodeTable:
 
     def cost(self, sign: str, length: int) -> float:
         known = self.bits.get(sign)
-        return known if known is not None else math.log2(self.total) + SIGN_BITS * min(length, 400)
+        return known if known is not None else math.log2(self.total) + SIGN_BITS * length
 
 
 def first_codes(text: str) -> list[str]:

@@ -52,3 +52,16 @@ def test_empty_table(spark):
 def test_unclosed_quote_protects_nothing():
     codes = P.CodeTable({"A": 100, "Q <A>": 10, '"W <A>': 1})
     assert [P.bare(i) for i in P.cheapest('"Lee <a@x.example>, b@x.example', codes)[1]] == ["a@x.example", "b@x.example"]
+
+
+# A blank also stands between name and address, so there only lists of bare names are clear.
+@pytest.mark.parametrize(
+    "delimiter, item",
+    [(d, '"Lee, Ann" <p{}@x.example>') for d in (", ", "; ", " | ", " / ", " & ", " and ", "\t", "\n", ", ;", "; , | ")]
+    + [(d, '"Desk A, Desk {}"') for d in (", ", "; ", " | ", " / ", " & ", " and ", "\t", "\n", " ", ", ;", "; , | ")],
+)
+def test_long_lists_of_names_are_split(delimiter, item):
+    # As many items as at scale 0.1: a rare code is dear, and the list still isn't one value.
+    codes = P.CodeTable({"A": 80_000, "<A>": 1000, "W W <A>": 500, "Q <A>": 200, "Q": 200, "W W": 100})
+    text = delimiter.join(item.format(k) for k in range(1000))
+    assert len(P.cheapest(text, codes)[1]) == 1000
