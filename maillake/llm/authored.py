@@ -37,7 +37,7 @@ _FOLD = re.compile(r"\r?\n[ \t]+")
 _CLOSING = re.compile(r"\s*(?:thanks|thank you|best|regards|cheers|best regards|kind regards|sincerely|gru[ßs]s?|mit .{0,20}gr[üu][ßs]en|cordialement|saludos)\s*[,.!]?\s*$", re.IGNORECASE)
 _KEY = re.compile(r"[\W_]+")
 _MAIL_SCHEMA = (
-    "tbl string, row_key string, marked array<bigint>, thread string, sender string, at bigint, "
+    "tbl string, row_key string, digest bigint, marked array<bigint>, unmarked bigint, thread string, sender string, at bigint, "
     "open array<struct<line_key:bigint,text:string,first:bigint,last:bigint,paragraph:bigint,closing:boolean>>"
 )
 
@@ -73,7 +73,8 @@ def _open_lines(lines: list[str], spans: list[tuple[int, int]], flags: list[str]
 
 
 def mark_structure(mails: DataFrame, names: NameModel) -> DataFrame:
-    """Per mail: ``marked`` (physical lines that structure tells apart) and its open lines.
+    """Per mail: ``marked`` (physical lines that structure tells apart), how many others
+    aren't blank (``unmarked``), its open lines and the ``digest`` of its text.
 
     ``mails``: tbl, row_key, text, is_message, subject, sender, dated. Null and
     empty bodies, and messages without body, have no lines.
@@ -100,13 +101,14 @@ def mark_structure(mails: DataFrame, names: NameModel) -> DataFrame:
                 marked = [n for (a, z), f in zip(spans, flags) if f for n in range(a, z + 1) if physical[n - 1].strip()]
                 rows.append(
                     {
-                        "tbl": tbl, "row_key": key, "marked": marked, "thread": thread_of(subject), "sender": (sender or "").lower(),
+                        "tbl": tbl, "row_key": key, "digest": xxhash.xxh64_intdigest(text) - (1 << 63), "marked": marked,
+                        "unmarked": sum(1 for x, f in zip(lines, flags) if not f and x.strip()), "thread": thread_of(subject), "sender": (sender or "").lower(),
                         "at": parse_instant(dated)[0], "open": [dict(zip(("line_key", "text", "first", "last", "paragraph", "closing"), x)) for x in _open_lines(lines, spans, flags)],
                     }
                 )
             schema = schema or pa.schema(
                 [
-                    ("tbl", pa.string()), ("row_key", pa.string()), ("marked", pa.list_(pa.int64())), ("thread", pa.string()), ("sender", pa.string()), ("at", pa.int64()),
+                    ("tbl", pa.string()), ("row_key", pa.string()), ("digest", pa.int64()), ("marked", pa.list_(pa.int64())), ("unmarked", pa.int64()), ("thread", pa.string()), ("sender", pa.string()), ("at", pa.int64()),
                     ("open", pa.list_(pa.struct([("line_key", pa.int64()), ("text", pa.string()), ("first", pa.int64()), ("last", pa.int64()), ("paragraph", pa.int64()), ("closing", pa.bool_())]))),
                 ]
             )
@@ -131,8 +133,8 @@ def known_elsewhere(marks: DataFrame) -> DataFrame:
     The joins go over (thread, line) and (sender, line), never over whole
     threads or senders, and hot lines are looked up by broadcast.
     """
-    opens = F.size(F.filter("open", lambda o: ~o["closing"])).alias("opens")
-    lines = marks.select("tbl", "row_key", "thread", "sender", "at", opens, F.explode("open").alias("o")).select("tbl", "row_key", "thread", "sender", "at", "opens", "o.*")
+    mail = ["tbl", "row_key", "digest", "thread", "sender", "at", "unmarked"]
+    lines = marks.select(*mail, F.explode("open").alias("o")).select(*mail, "o.*")
     in_thread = lines.where("thread IS NOT NULL AND at IS NOT NULL AND NOT closing")
     first = in_thread.groupBy("tbl", "thread", "line_key").agg(
         F.min(F.struct("at", "sender")).alias("origin"), F.min_by("text", F.struct("at", "sender")).alias("written"), F.count("*").alias("n"), F.min("sender").alias("a"), F.max("sender").alias("z")
@@ -144,14 +146,15 @@ def known_elsewhere(marks: DataFrame) -> DataFrame:
     repeated = closings.groupBy("tbl", "sender", "line_key").agg(F.approx_count_distinct("thread").alias("threads"), F.count("*").alias("n"), F.min("text").alias("written"))
     repeated = repeated.where(F.col("threads") >= LEAST_THREADS).drop("threads")
     closed = lookup(closings, repeated, ["tbl", "sender", "line_key"]).where("written IS NOT NULL")
-    cols = ["tbl", "row_key", "first", "last", "paragraph", "text", "written"]
+    cols = ["tbl", "row_key", "digest", "first", "last", "paragraph", "text", "written"]
     # A mail whose every line is another's is that mail sent again, not an answer that holds it.
     one = F.struct("first", "last", "paragraph", "text", "written")
-    partly = quoted.groupBy("tbl", "row_key").agg(F.collect_list(one).alias("own"), F.max("opens").alias("opens")).where(F.size("own") < F.col("opens"))
-    partly = partly.select("tbl", "row_key", F.explode("own").alias("l")).select("tbl", "row_key", "l.*")
+    # Sets, as a row that comes twice has each of its lines twice.
+    partly = quoted.groupBy("tbl", "row_key", "digest").agg(F.collect_set(one).alias("own"), F.max("unmarked").alias("unmarked")).where(F.size("own") < F.col("unmarked"))
+    partly = partly.select("tbl", "row_key", "digest", F.explode("own").alias("l")).select("tbl", "row_key", "digest", "l.*")
     candidates = partly.select(*cols).unionByName(closed.select(*cols))
     # The candidates of a paragraph are lines of one paragraph of one mail, so the groups are small.
-    per_paragraph = candidates.groupBy("tbl", "row_key", "paragraph").agg(
+    per_paragraph = candidates.distinct().groupBy("tbl", "row_key", "digest", "paragraph").agg(
         F.array_join(F.collect_list("text"), "\n").alias("text"), F.array_join(F.collect_set("written"), "\n").alias("dictionary"), F.collect_list(F.struct("first", "last")).alias("spans")
     )
 

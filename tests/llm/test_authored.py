@@ -71,6 +71,17 @@ def test_ancestors_prove_unmarked_history(spark):
     assert got == [("emails", "2", 3), ("emails", "2", 4)]
 
 
+def test_short_answer_above_history_and_repeated_rows(spark):
+    rows = [
+        ("emails", "1", PARENT, False, "Reserve", "a@x", "1 Jan 2001 10:00:00 +0000"),
+        ("emails", "2", "OK, done.\n\n" + PARENT, False, "RE: reserve", "b@x", "2 Jan 2001 10:00:00 +0000"),
+        *[("emails", "3", "I did that already, see what you asked for:\n\n" + PARENT, False, "RE: reserve", "c@x", "3 Jan 2001 10:00:00 +0000")] * 2,
+        *[("emails", "4", PARENT, False, "FW: Reserve", "d@x", "4 Jan 2001 10:00:00 +0000")] * 2,  # that mail sent again
+    ]
+    got = sorted(tuple(r) for r in A.not_own_lines(mails(spark, rows), NAMES).collect())
+    assert got == [("emails", k, n) for k in "23" for n in (3, 4)]
+
+
 def test_repeated_closings(spark):
     closing = "Ask me anything about gas any time"
     rows = [("emails", str(k), f"Number {k} is here.\nBest\n{closing}", False, f"s{k}", "a@x", None) for k in range(4)]
