@@ -1,10 +1,11 @@
 """The text that a mail's sender wrote: lines of earlier messages, signatures and disclaimers told apart.
 
 Structure (``mailtext``) decides the lines that carry marks. What it leaves
-open goes through dictionaries from other mails: the lines that other senders
-wrote earlier in the thread, and the closings that a sender repeats in several
-threads. A paragraph that compresses abnormally well with its dictionary is
-checked for exact overlaps; overlapping lines aren't new.
+open goes through dictionaries from other mails: pieces of what other senders
+wrote earlier in the thread, found by fingerprints of their words, and the
+closings that a sender repeats in several threads. Open text that compresses
+abnormally well with its dictionary is checked for exact overlaps, word by
+word and as long as they go; lines that they cover aren't new.
 """
 
 from __future__ import annotations
@@ -13,22 +14,33 @@ import re
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from maillake.functions.instants import parse_instant
+from maillake.functions.packed import bare
 from maillake.llm import mailtext as M
 from maillake.llm.entities import NameModel
 from maillake.llm.pii import body_of
 from maillake.operators.lookup import lookup
 from maillake.session import materialise
 
-#: Letters and digits that a line must have to be compared with other mails'.
+#: Letters and digits that an overlap must have, and that a line must have to be looked up as a whole.
 LEAST_SIGNS = 30
-#: Share of its bytes that a dictionary must save for a paragraph to be checked.
+#: Share of its bytes that a dictionary must save for a piece of open text to be checked.
 LEAST_GAIN = 0.4
+#: Share of a line's letters and digits that overlaps must cover.
+LEAST_COVER = 0.8
+#: Words of a fingerprint, and fingerprints in a row of which the least one counts:
+#: of every SHINGLE + WINDOW - 1 words that two mails share one fingerprint is found in both.
+SHINGLE = 4
+WINDOW = 4
+#: Words that are compressed at a time, and bytes that a dictionary of zlib can have.
+PIECE_WORDS = 200
+ZLIB_WINDOW = 32_000
 #: Threads in which a sender must repeat a line behind the closing words.
 LEAST_THREADS = 3
 
@@ -36,8 +48,9 @@ _REPLY_PREFIX = re.compile(r"^(?:\s*(?:re|fw|fwd|aw|wg|tr)\s*(?:\[\d+\])?\s*:)+"
 _FOLD = re.compile(r"\r?\n[ \t]+")
 _CLOSING = re.compile(r"\s*(?:thanks|thank you|best|regards|cheers|best regards|kind regards|sincerely|gru[ßs]s?|mit .{0,20}gr[üu][ßs]en|cordialement|saludos)\s*[,.!]?\s*$", re.IGNORECASE)
 _KEY = re.compile(r"[\W_]+")
+_WORDS = re.compile(r"[^\W_]+")
 _MAIL_SCHEMA = (
-    "tbl string, row_key string, digest bigint, marked array<bigint>, unmarked bigint, thread string, sender string, at bigint, "
+    "tbl string, row_key string, digest bigint, marked array<bigint>, prints array<bigint>, thread string, sender string, at bigint, "
     "open array<struct<line_key:bigint,text:string,first:bigint,last:bigint,paragraph:bigint,closing:boolean>>"
 )
 
@@ -55,7 +68,8 @@ def thread_of(subject: str | None) -> str | None:
 
 
 def _open_lines(lines: list[str], spans: list[tuple[int, int]], flags: list[str]) -> list[tuple]:
-    """Lines that structure leaves open and other mails may decide."""
+    """Lines that structure leaves open. Those behind closing words that may be
+    a repeated closing have a ``line_key``."""
     out, paragraph, closing = [], 0, False
     for line, (first, last), flag in zip(lines, spans, flags):
         if not line.strip():
@@ -63,18 +77,57 @@ def _open_lines(lines: list[str], spans: list[tuple[int, int]], flags: list[str]
             continue
         if flag:
             continue
+        key = None
         if _CLOSING.match(line):
             closing = True
-            continue
-        key = _KEY.sub("", line).lower()
-        if len(key) >= LEAST_SIGNS or (closing and len(line.split()) > 2):
-            out.append((xxhash.xxh64_intdigest(key) - (1 << 63), line, first, last, paragraph, closing))
+        elif closing:
+            signs = _KEY.sub("", line).lower()
+            if len(signs) >= LEAST_SIGNS or len(line.split()) > 2:
+                key = xxhash.xxh64_intdigest(signs) - (1 << 63)
+        out.append((key, line, first, last, paragraph, closing))
+    return out
+
+
+def _words(lines: list[str]) -> tuple[list[str], list[int]]:
+    """Words of the lines in lower case, and where each line's begin (and the end)."""
+    words, starts = [], [0]
+    for line in lines:
+        words += _WORDS.findall(line.lower())
+        starts.append(len(words))
+    return words, starts
+
+
+def _prints(words: list[str], starts: list[int]) -> list[tuple[int, int, int]]:
+    """(hash, first word, words) of the fingerprints: the least of every WINDOW
+    runs of SHINGLE words, wherever lines break, and of every line of LEAST_SIGNS."""
+    out = []
+    n = len(words) - SHINGLE + 1
+    if n > 0:
+        h = np.array([xxhash.xxh64_intdigest(w) for w in words], dtype=np.uint64)
+        runs = np.zeros(n, dtype=np.uint64)
+        for k in range(SHINGLE):
+            runs = runs * np.uint64(0x9E3779B97F4A7C15) + h[k : k + n]
+        runs = (runs ^ (runs >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+        windows = max(1, n - WINDOW + 1)
+        width = n - windows + 1
+        least = runs[:windows]
+        for k in range(1, width):
+            least = np.minimum(least, runs[k : k + windows])
+        chosen = np.zeros(n, dtype=bool)
+        for k in range(width):
+            chosen[k : k + windows] |= runs[k : k + windows] == least
+        at = np.flatnonzero(chosen)
+        out += [(x, k, SHINGLE) for x, k in zip(runs[at].view(np.int64).tolist(), at.tolist())]
+    for a, z in zip(starts, starts[1:]):
+        signs = "".join(words[a:z])
+        if len(signs) >= LEAST_SIGNS:
+            out.append((xxhash.xxh64_intdigest(signs) - (1 << 63), a, z - a))
     return out
 
 
 def mark_structure(mails: DataFrame, names: NameModel) -> DataFrame:
-    """Per mail: ``marked`` (physical lines that structure tells apart), how many others
-    aren't blank (``unmarked``), its open lines and the ``digest`` of its text.
+    """Per mail: ``marked`` (physical lines that structure tells apart), its open
+    lines with the fingerprints of their words (``prints``), and the ``digest`` of its text.
 
     ``mails``: tbl, row_key, text, is_message, subject, sender, dated. Null and
     empty bodies, and messages without body, have no lines.
@@ -91,7 +144,7 @@ def mark_structure(mails: DataFrame, names: NameModel) -> DataFrame:
                     if body is not None:
                         block = _FOLD.sub(" ", text[: len(text) - len(body)])
                         encoded = (_header(block, "content-transfer-encoding") or "").lower() == "quoted-printable"
-                        subject, sender, dated = _header(block, "subject"), (_header(block, "from") or "").lower(), _header(block, "date")
+                        subject, sender, dated = _header(block, "subject"), _header(block, "from"), _header(block, "date")
                     text = body
                 if not text:
                     continue
@@ -99,16 +152,19 @@ def mark_structure(mails: DataFrame, names: NameModel) -> DataFrame:
                 flags = M.Structure(lines, names).flags
                 physical = text.replace("\r\n", "\n").split("\n") if encoded else lines
                 marked = [n for (a, z), f in zip(spans, flags) if f for n in range(a, z + 1) if physical[n - 1].strip()]
+                opened = _open_lines(lines, spans, flags)
+                thread, at = thread_of(subject), parse_instant(dated)[0]
+                prints = [] if thread is None or at is None else list({p for p, _, _ in _prints(*_words([x[1] for x in opened]))})
                 rows.append(
                     {
                         "tbl": tbl, "row_key": key, "digest": xxhash.xxh64_intdigest(text) - (1 << 63), "marked": marked,
-                        "unmarked": sum(1 for x, f in zip(lines, flags) if not f and x.strip()), "thread": thread_of(subject), "sender": (sender or "").lower(),
-                        "at": parse_instant(dated)[0], "open": [dict(zip(("line_key", "text", "first", "last", "paragraph", "closing"), x)) for x in _open_lines(lines, spans, flags)],
+                        "prints": prints, "thread": thread, "sender": bare(sender or ""), "at": at,
+                        "open": [dict(zip(("line_key", "text", "first", "last", "paragraph", "closing"), x)) for x in opened],
                     }
                 )
             schema = schema or pa.schema(
                 [
-                    ("tbl", pa.string()), ("row_key", pa.string()), ("digest", pa.int64()), ("marked", pa.list_(pa.int64())), ("unmarked", pa.int64()), ("thread", pa.string()), ("sender", pa.string()), ("at", pa.int64()),
+                    ("tbl", pa.string()), ("row_key", pa.string()), ("digest", pa.int64()), ("marked", pa.list_(pa.int64())), ("prints", pa.list_(pa.int64())), ("thread", pa.string()), ("sender", pa.string()), ("at", pa.int64()),
                     ("open", pa.list_(pa.struct([("line_key", pa.int64()), ("text", pa.string()), ("first", pa.int64()), ("last", pa.int64()), ("paragraph", pa.int64()), ("closing", pa.bool_())]))),
                 ]
             )
@@ -117,53 +173,149 @@ def mark_structure(mails: DataFrame, names: NameModel) -> DataFrame:
     return mails.select("tbl", "row_key", "text", "is_message", "subject", "sender", "dated").mapInArrow(run, _MAIL_SCHEMA)
 
 
-def _gain(paragraph: str, dictionary: str) -> float:
-    """Share of the compressed paragraph that the dictionary saves."""
-    data = paragraph.encode()
+def _gain(text: str, dictionary: str) -> float:
+    """Share of the compressed text that the dictionary saves."""
+    data = text.encode()
     plain = len(zlib.compress(data, 6))
-    c = zlib.compressobj(6, zdict=dictionary.encode()[-32_000:])
+    c = zlib.compressobj(6, zdict=dictionary.encode())
     return 1 - len(c.compress(data) + c.flush()) / plain
 
 
-def known_elsewhere(marks: DataFrame) -> DataFrame:
-    """tbl, row_key, first, last: open lines that the dictionaries prove not new.
+def _chunks(lines: list[str], wanted: dict[int, int]) -> list[dict]:
+    """Of a source's open lines the words around each wanted fingerprint: so many
+    that the pieces of a shared text, laid side by side, are all of it."""
+    words, starts = _words(lines)
+    out, seen = [], set()
+    for p, at, size in _prints(words, starts):
+        if p in wanted and p not in seen:
+            seen.add(p)
+            a = max(0, at - WINDOW - SHINGLE)
+            out.append({"print": p, "offset": at - a, "words": " ".join(words[a : at + size + WINDOW + SHINGLE]), "n": wanted[p]})
+    return out
+
 
-    Thread ancestors: another sender wrote the line earlier in the thread.
-    Closings: the sender repeats it behind the closing words of several threads.
-    The joins go over (thread, line) and (sender, line), never over whole
-    threads or senders, and hot lines are looked up by broadcast.
+def _overlapping(opened: list[dict], chunks: dict[int, tuple[int, str]]) -> list[dict]:
+    """first and last of the open lines that exact overlaps with the chunks cover;
+    none if they are all lines: that mail is sent again, not an answer that holds it."""
+    words, starts = _words([o["text"] for o in opened])
+    hits = []
+    for p, at, size in _prints(words, starts):
+        if p in chunks:
+            offset, text = chunks[p]
+            theirs = text.split(" ")
+            if theirs[offset : offset + size] != words[at : at + size]:
+                continue
+            a, i = at, offset
+            while a and i and words[a - 1] == theirs[i - 1]:
+                a, i = a - 1, i - 1
+            z, i = at + size, offset + size
+            while z < len(words) and i < len(theirs) and words[z] == theirs[i]:
+                z, i = z + 1, i + 1
+            hits.append((a, z, text))
+    if not hits:
+        return []
+    hits.sort()
+    # Words of the maximal overlaps; too short ones prove nothing.
+    covered = np.zeros(len(words), dtype=bool)
+    runs: list[list[int]] = []
+    for a, z, _ in hits:
+        if runs and a < runs[-1][1]:
+            runs[-1][1] = max(z, runs[-1][1])
+        else:
+            runs.append([a, z])
+    for a, z in runs:
+        covered[a:z] = sum(map(len, words[a:z])) >= LEAST_SIGNS
+    # Each piece of the touched lines of a paragraph must compress with the chunks that touch it.
+    touched = [bool(covered[a:z].any()) for a, z in zip(starts, starts[1:])]
+    first_hit = 0
+    k = 0
+    while k < len(opened):
+        if not touched[k]:
+            k += 1
+            continue
+        end = k + 1
+        while end < len(opened) and touched[end] and opened[end]["paragraph"] == opened[k]["paragraph"]:
+            end += 1
+        for a in range(starts[k], starts[end], PIECE_WORDS):
+            z = min(a + PIECE_WORDS, starts[end])
+            while first_hit < len(hits) and hits[first_hit][1] <= a:
+                first_hit += 1
+            near = dict.fromkeys(t for x, y, t in _until(hits, first_hit, z) if y > a)
+            dictionary = " ".join(near)
+            # A dictionary of giant words that zlib can't hold decides nothing; the overlap alone does.
+            if len(dictionary.encode()) <= ZLIB_WINDOW and _gain(" ".join(words[a:z]), dictionary) < LEAST_GAIN:
+                covered[a:z] = False
+        k = end
+    found = []
+    for a, z in zip(starts, starts[1:]):
+        signs = sum(map(len, words[a:z]))
+        found.append(None if not signs else sum(len(words[i]) for i in range(a, z) if covered[i]) >= LEAST_COVER * signs)
+    if all(f is not False for f in found):
+        return []
+    # A line without words, such as a rule, goes with the lines around it.
+    out = [o for k, (o, f) in enumerate(zip(opened, found)) if f or (f is None and 0 < k < len(found) - 1 and found[k - 1] and found[k + 1])]
+    return [{"first": o["first"], "last": o["last"]} for o in out]
+
+
+def _until(hits: list[tuple], k: int, end: int) -> Iterator[tuple]:
+    while k < len(hits) and hits[k][0] < end:
+        yield hits[k]
+        k += 1
+
+
+def _history(marks: DataFrame) -> DataFrame:
+    """tbl, row_key, first, last: open lines that another sender wrote earlier in the thread.
+
+    Fingerprints are joined by (thread, fingerprint), hot ones by broadcast, and
+    only what they hit is fetched: no thread is ever joined with itself. A row
+    that comes twice is one mail.
     """
-    mail = ["tbl", "row_key", "digest", "thread", "sender", "at", "unmarked"]
-    lines = marks.select(*mail, F.explode("open").alias("o")).select(*mail, "o.*")
-    in_thread = lines.where("thread IS NOT NULL AND at IS NOT NULL AND NOT closing")
-    first = in_thread.groupBy("tbl", "thread", "line_key").agg(
-        F.min(F.struct("at", "sender")).alias("origin"), F.min_by("text", F.struct("at", "sender")).alias("written"), F.count("*").alias("n"), F.min("sender").alias("a"), F.max("sender").alias("z")
-    )
-    # Only lines that several senders have can be history.
-    first = first.where("a <> z").select("tbl", "thread", "line_key", F.col("origin.at").alias("origin_at"), F.col("origin.sender").alias("origin_sender"), "written", "n")
-    quoted = lookup(in_thread, first, ["tbl", "thread", "line_key"]).where("origin_at < at AND origin_sender <> sender")
-    closings = lines.where("closing AND sender <> ''")
-    repeated = closings.groupBy("tbl", "sender", "line_key").agg(F.approx_count_distinct("thread").alias("threads"), F.count("*").alias("n"), F.min("text").alias("written"))
+    spark = marks.sparkSession
+    marks = marks.withColumn("mail", F.xxhash64("tbl", "row_key", "digest"))
+    mails = marks.where("size(prints) > 0").select("mail", F.xxhash64("tbl", "thread").alias("thread_key"), F.xxhash64("sender").alias("writer"), "at", "prints")
+    # Only threads, and then fingerprints, that several senders have can hold history.
+    threads = mails.groupBy("thread_key").agg(F.count("*").alias("n"), F.min("writer").alias("a"), F.max("writer").alias("z"))
+    threads = threads.where("a <> z").select("thread_key", "n", F.lit(True).alias("several"))
+    each = lookup(mails, threads, ["thread_key"]).where("several").select("mail", "thread_key", "writer", "at", F.explode("prints").alias("print"))
+    first = each.groupBy("thread_key", "print").agg(F.min(F.struct("at", "writer", "mail")).alias("o"), F.count("*").alias("n"), F.min("writer").alias("a"), F.max("writer").alias("z"))
+    first = first.where("a <> z").select("thread_key", "print", F.col("o.at").alias("origin_at"), F.col("o.writer").alias("origin"), F.col("o.mail").alias("source"), "n")
+    hits = lookup(each, materialise(spark, first, "origins"), ["thread_key", "print"]).where("origin_at < at AND origin <> writer").select("mail", "print", "source").distinct()
+    hits = materialise(spark, hits, "hits")
+
+    line = "array<struct<first:bigint,last:bigint>>"
+
+    @F.pandas_udf("array<struct<print:bigint,offset:bigint,words:string,n:bigint>>")
+    def chunks(opened, wanted):
+        import pandas as pd
+
+        return pd.Series([_chunks([o["text"] for o in os], {w["print"]: w["n"] for w in ws}) for os, ws in zip(opened, wanted)], dtype=object)
+
+    @F.pandas_udf(line)
+    def overlapping(opened, known):
+        import pandas as pd
+
+        return pd.Series([_overlapping(list(os), {c["print"]: (c["offset"], c["words"]) for c in cs}) for os, cs in zip(opened, known)], dtype=object)
+
+    wanted = hits.groupBy("source", "print").agg(F.count("*").alias("n")).groupBy("source").agg(F.collect_list(F.struct("print", "n")).alias("wanted"))
+    texts = marks.select("tbl", "row_key", "mail", F.transform("open", lambda o: F.struct(o["text"].alias("text"), o["first"].alias("first"), o["last"].alias("last"), o["paragraph"].alias("paragraph"))).alias("open"))
+    pieces = texts.join(wanted, texts["mail"] == wanted["source"]).select("source", F.explode(chunks("open", "wanted")).alias("c")).select("source", "c.*")
+    pieces = pieces.groupBy("source", "print").agg(F.max("n").alias("n"), F.min(F.struct("offset", "words")).alias("c"))
+    known = lookup(hits, materialise(spark, pieces, "pieces"), ["source", "print"]).where("c IS NOT NULL")
+    known = known.groupBy("mail").agg(F.collect_list(F.struct("print", "c.offset", "c.words")).alias("known"))
+    return texts.join(known, "mail").select("tbl", "row_key", F.explode(overlapping("open", "known")).alias("l")).select("tbl", "row_key", "l.*")
+
+
+def _repeated_closings(marks: DataFrame) -> DataFrame:
+    """tbl, row_key, first, last: lines that the sender repeats behind the closing words of several threads."""
+    lines = marks.where("sender <> ''").select("tbl", "row_key", "thread", "sender", F.explode("open").alias("o")).where("o.line_key IS NOT NULL").select("tbl", "row_key", "thread", "sender", "o.*")
+    repeated = lines.groupBy("tbl", "sender", "line_key").agg(F.approx_count_distinct("thread").alias("threads"), F.count("*").alias("n"), F.lit(True).alias("repeated"))
     repeated = repeated.where(F.col("threads") >= LEAST_THREADS).drop("threads")
-    closed = lookup(closings, repeated, ["tbl", "sender", "line_key"]).where("written IS NOT NULL")
-    cols = ["tbl", "row_key", "digest", "first", "last", "paragraph", "text", "written"]
-    # A mail whose every line is another's is that mail sent again, not an answer that holds it.
-    one = F.struct("first", "last", "paragraph", "text", "written")
-    # Sets, as a row that comes twice has each of its lines twice.
-    partly = quoted.groupBy("tbl", "row_key", "digest").agg(F.collect_set(one).alias("own"), F.max("unmarked").alias("unmarked")).where(F.size("own") < F.col("unmarked"))
-    partly = partly.select("tbl", "row_key", "digest", F.explode("own").alias("l")).select("tbl", "row_key", "digest", "l.*")
-    candidates = partly.select(*cols).unionByName(closed.select(*cols))
-    # The candidates of a paragraph are lines of one paragraph of one mail, so the groups are small.
-    per_paragraph = candidates.distinct().groupBy("tbl", "row_key", "digest", "paragraph").agg(
-        F.array_join(F.collect_list("text"), "\n").alias("text"), F.array_join(F.collect_set("written"), "\n").alias("dictionary"), F.collect_list(F.struct("first", "last")).alias("spans")
-    )
+    return lookup(lines, repeated, ["tbl", "sender", "line_key"]).where("repeated").select("tbl", "row_key", "first", "last")
 
-    @F.pandas_udf("double")
-    def gain(text, dictionary):
-        return text.combine(dictionary, _gain).astype("float64")
 
-    flagged = per_paragraph.where(gain("text", "dictionary") >= LEAST_GAIN)
-    return flagged.select("tbl", "row_key", F.explode("spans").alias("s")).select("tbl", "row_key", "s.first", "s.last")
+def known_elsewhere(marks: DataFrame) -> DataFrame:
+    """tbl, row_key, first, last: open lines that the dictionaries prove not new."""
+    return _history(marks).unionByName(_repeated_closings(marks))
 
 
 def not_own_lines(mails: DataFrame, names: NameModel) -> DataFrame:

@@ -77,11 +77,33 @@ def test_short_answer_above_history_and_repeated_rows(spark):
         ("emails", "2", "OK, done.\n\n" + PARENT, False, "RE: reserve", "b@x", "2 Jan 2001 10:00:00 +0000"),
         *[("emails", "3", "I did that already, see what you asked for:\n\n" + PARENT, False, "RE: reserve", "c@x", "3 Jan 2001 10:00:00 +0000")] * 2,
         *[("emails", "4", PARENT, False, "FW: Reserve", "d@x", "4 Jan 2001 10:00:00 +0000")] * 2,  # that mail sent again
+        ("emails", "5", "Second version\n" + PARENT, False, "Reserve", "Ann Lee <A@X>", "5 Jan 2001 10:00:00 +0000"),  # by the same sender
     ]
     got = sorted(tuple(r) for r in A.not_own_lines(mails(spark, rows), NAMES).collect())
     assert got == [("emails", k, n) for k in "23" for n in (3, 4)]
 
 
+def test_wrapped_and_prefixed_history(spark):
+    # Overlaps are found and followed wherever lines break; what only touches an overlap is new.
+    wrapped = "Done, more below.\n\nThe quarterly reserve has to be\ncounted twice before Friday. Please send all\nof the numbers to the other desk."
+    prefixed = "Not yet.\n\n[a] The quarterly reserve has to be counted twice before Friday.\n[a] Please send all of the numbers to the other desk."
+    cited = "You ask me to send all of the numbers to the other desk, but I gave every one of them to the auditors a week ago."
+    rows = [
+        ("emails", "1", PARENT, False, "Reserve", "a@x", "1 Jan 2001 10:00:00 +0000"),
+        *[("emails", k, t, False, "RE: reserve", f"{k}@x", "2 Jan 2001 10:00:00 +0000") for k, t in (("2", wrapped), ("3", prefixed), ("4", cited))],
+    ]
+    got = sorted(tuple(r) for r in A.not_own_lines(mails(spark, rows), NAMES).collect())
+    assert got == [("emails", "2", 3), ("emails", "2", 4), ("emails", "2", 5), ("emails", "3", 3), ("emails", "3", 4)]
+
+
+def test_long_history_is_compared_as_a_whole():
+    theirs = [" ".join(f"w{k * 7919 % 6007}x{j}" for j in range(12)) for k in range(3000)]
+    words, starts = A._words(theirs)
+    chunks = {c["print"]: (c["offset"], c["words"]) for c in A._chunks(theirs, {p: 1 for p, _, _ in A._prints(words, starts)})}
+    opened = [{"text": t, "first": k, "last": k, "paragraph": 0} for k, t in enumerate(["Yes, mine.", *theirs])]
+    assert [x["first"] for x in A._overlapping(opened, chunks)] == list(range(1, 3001))
+
+
 def test_repeated_closings(spark):
     closing = "Ask me anything about gas any time"
     rows = [("emails", str(k), f"Number {k} is here.\nBest\n{closing}", False, f"s{k}", "a@x", None) for k in range(4)]
