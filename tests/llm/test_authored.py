@@ -83,6 +83,17 @@ def test_short_answer_above_history_and_repeated_rows(spark):
     assert got == [("emails", k, n) for k in "23" for n in (3, 4)]
 
 
+def test_history_behind_closing_words(spark):
+    parent = PARENT + "\nOK?\nAnn"
+    rows = [
+        ("emails", "1", parent, False, "Reserve", "a@x", "1 Jan 2001 10:00:00 +0000"),
+        ("emails", "2", "Done.\nThanks,\nBo\n\n" + parent, False, "RE: reserve", "b@x", "2 Jan 2001 10:00:00 +0000"),
+        ("emails", "3", "Thanks.\n\n" + parent, False, "RE: reserve", "c@x", "3 Jan 2001 10:00:00 +0000"),
+    ]
+    got = sorted(tuple(r) for r in A.not_own_lines(mails(spark, rows), NAMES).collect())
+    assert got == [("emails", "2", n) for n in (5, 6, 7, 8)] + [("emails", "3", n) for n in (3, 4, 5, 6)]
+
+
 def test_wrapped_and_prefixed_history(spark):
     # Overlaps are found and followed wherever lines break; what only touches an overlap is new.
     wrapped = "Done, more below.\n\nThe quarterly reserve has to be\ncounted twice before Friday. Please send all\nof the numbers to the other desk."
