@@ -6,7 +6,7 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from maillake.llm import entities as E
@@ -118,37 +118,62 @@ def with_surrogates(found: DataFrame, key: bytes) -> DataFrame:
     return chosen.withColumn("surrogate", write("kind", "found_text", "canon", "chosen")).drop("chosen")
 
 
-def redact(df: DataFrame, column: str, names: E.NameModel, key: bytes | None = None, out: str = "redacted", is_message: bool = False) -> DataFrame:
+def _known_surrogates(texts: DataFrame, names: E.NameModel, key: bytes) -> DataFrame:
+    """row_key, known: of each distinct text (tbl, row_key, text, is_message) the chosen surrogates of its entities."""
+    found = materialise(texts.sparkSession, find_entities(texts, names), "entities")
+    chosen = lookup(found.select("row_key", "kind", "canon").distinct(), surrogate_table(found, key), ["kind", "canon"])
+    return chosen.groupBy("row_key").agg(F.collect_list(F.struct("kind", "canon", "chosen")).alias("known"))
+
+
+def redact(df: DataFrame, column: str, names: E.NameModel, key: bytes | None = None, out: str = "redacted", is_message: bool | Column = False) -> DataFrame:
     """``df`` plus ``out``: the text with each mention replaced, the rest unchanged.
 
     Without ``key`` the replacement is the placeholder of the type
-    (``<EMAIL>``); with it the keyed surrogate (drawn without the corpus-wide
-    collision check; see ``surrogate_table``). Null stays null, empty stays
-    empty. Of messages only the body is changed.
+    (``<EMAIL>``); with it the keyed surrogate that ``surrogate_table`` chose,
+    checked for collisions over all texts of ``df``. Null stays null, empty
+    stays empty. Of messages (``is_message``, one value or a column) only the
+    body is changed.
     """
+    message = is_message if isinstance(is_message, Column) else F.lit(is_message)
+
+    def rewrite(text: str | None, is_message: bool, new) -> str | None:
+        if text is None:
+            return None
+        body = body_of(text) if is_message else text
+        head = text[: len(text) - len(body)] if body is not None else text
+        parts, at = [head], 0
+        for f in E.find(body or "", names):
+            parts += [body[at : f.start], new(f, body[f.start : f.end])]
+            at = f.end
+        parts.append((body or "")[at:])
+        return "".join(parts)
+
+    @F.pandas_udf("string")
+    def placeholders(texts, messages):
+        import pandas as pd
+
+        return pd.Series([rewrite(t, m, lambda f, was: E.PLACEHOLDERS[f.kind]) for t, m in zip(texts, messages)], dtype=object)
 
     @F.pandas_udf("string")
-    def run(texts):
+    def surrogates(texts, messages, known):
         import pandas as pd
 
-        out = []
-        for text in texts:
-            if text is None:
-                out.append(None)
-                continue
-            body = body_of(text) if is_message else text
-            head = text[: len(text) - len(body)] if body is not None else text
-            parts, at = [head], 0
-            for f in E.find(body or "", names):
-                was = body[f.start : f.end]
-                new = E.PLACEHOLDERS[f.kind] if key is None else S.write_like(f.kind, was, f.canon, S.surrogate(f.kind, f.canon, key))
-                parts += [body[at : f.start], new]
-                at = f.end
-            parts.append((body or "")[at:])
-            out.append("".join(parts))
-        return pd.Series(out, dtype=object)
-
-    return df.withColumn(out, run(F.col(column)))
+        done = []
+        for t, m, k in zip(texts, messages, known):
+            chosen = {(x["kind"], x["canon"]): x["chosen"] for x in k} if k is not None else {}
+            done.append(rewrite(t, m, lambda f, was: S.write_like(f.kind, was, f.canon, chosen[f.kind, f.canon])))
+        return pd.Series(done, dtype=object)
+
+    if key is None:
+        return df.withColumn(out, placeholders(F.col(column), message))
+    # By the text itself, as rows need no key; repeated texts are looked at once.
+    rows = df.withColumns({"_mk_is_message": message, "_mk_text": F.when(message, F.sha2(F.concat(F.lit("m"), column), 256)).otherwise(F.sha2(F.col(column), 256))})
+    texts = rows.where("_mk_text IS NOT NULL").groupBy(F.col("_mk_text").alias("row_key")).agg(F.min(column).alias("text"), F.first("_mk_is_message").alias("is_message"), F.count("*").alias("n"))
+    known = _known_surrogates(texts.withColumn("tbl", F.lit("")), names, key)
+    known = known.join(texts.select("row_key", "n"), "row_key").withColumnsRenamed({"row_key": "_mk_text", "known": "_mk_known"})
+    joined = lookup(rows, known, ["_mk_text"])
+    done = joined.withColumn(out, surrogates(F.col(column), F.col("_mk_is_message"), F.col("_mk_known")))
+    return done.select(*df.columns, *([] if out in df.columns else [out]))
 
 
 def archive_texts(raw_emails: DataFrame, emails: DataFrame) -> DataFrame:

@@ -26,6 +26,22 @@ def p1_placeholders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.redact(table(spark, sf_dir, "emails").select("message_id", "body_clean"), "body_clean", names)
 
 
+def _rewritten(spark: SparkSession, sf_dir: str, key: bytes | None) -> DataFrame:
+    names = pii.name_model(table(spark, sf_dir, "people"))
+    texts = spread(pii.archive_texts(table(spark, sf_dir, "raw_emails"), table(spark, sf_dir, "emails")))
+    return pii.redact(texts, "text", names, key, is_message=F.col("is_message")).select("tbl", "row_key", "redacted")
+
+
+def p1_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both tables' texts with placeholders."""
+    return _rewritten(spark, sf_dir, None)
+
+
+def p1_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both tables' texts with surrogates, checked for collisions over both."""
+    return _rewritten(spark, sf_dir, DEMO_KEY)
+
+
 def p3_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = table(spark, sf_dir, "reply_pairs")
     found = digests.percentiles(pairs, ["replier"], F.col("response_minutes"), part=F.to_date("reply_sent_at").cast("string"))
@@ -87,6 +103,6 @@ QUERIES = {
     "p3_percentiles": p3_percentiles, "p3_daily": p3_daily,
     "p8_ids": p8_ids, "p8_decoded": p8_decoded, "p9_bins": p9_bins, "p9_fill": p9_fill,
     "p7_found": p7_found, "p6_found": p6_found, "p6_records": p6_records, "p10_found": p10_found, "p10_shares": p10_shares,
-    "p1_found": p1_found, "p1_placeholders": p1_placeholders,
+    "p1_found": p1_found, "p1_placeholders": p1_placeholders, "p1_redacted": p1_redacted, "p1_surrogates": p1_surrogates,
 }
 ORACLES = SQL

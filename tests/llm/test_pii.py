@@ -123,3 +123,26 @@ def test_empty_tables_and_size_check(spark):
     assert pii.name_model(people).given == {"a", "c"}
     with pytest.raises(ValueError):
         pii.name_model(people, limit=1)
+
+
+def test_redact_writes_checked_surrogates_over_both_tables(spark, monkeypatch):
+    # The first draw gives both people one surrogate, so only a check over all texts keeps them apart.
+    from maillake.llm import queries
+
+    drawn = S.surrogate
+    rows = {
+        "people": spark.createDataFrame([(g, f) for g in GIVEN for f in FAMILY], "given_name string, family_name string"),
+        "raw_emails": spark.createDataFrame([("m/1.", "From: Onnis Sarvobury\n\nAsk Onnis Sarvobury.")] * 2, "file string, message string"),
+        "emails": spark.createDataFrame([("i1", "Ask Ilvette Haskimont, not Onnis Sarvobury."), ("i2", None), ("i3", "")], "message_id string, body_clean string"),
+    }
+    monkeypatch.setattr(queries, "table", lambda spark, d, name: rows[name])
+    monkeypatch.setattr(pii.S, "surrogate", lambda k, c, key, attempt=0: "same one" if attempt == 0 else drawn(k, c, key, attempt))
+    out = queries.p1_surrogates(spark, "").collect()
+    got = {r["row_key"]: r["redacted"] for r in out}
+    assert len(out) == 5 and got["i2"] is None and got["i3"] == ""
+    one = got["m/1."].removeprefix("From: Onnis Sarvobury\n\nAsk ").rstrip(".")
+    other = got["i1"].split(",")[0].removeprefix("Ask ")
+    assert got["i1"] == f"Ask {other}, not {one}." and one != other and not {one, other} & {"Onnis Sarvobury", "Ilvette Haskimont"}
+    assert {r["row_key"]: r["redacted"] for r in queries.p1_redacted(spark, "").collect()} == {
+        "m/1.": "From: Onnis Sarvobury\n\nAsk <PERSON_NAME>.", "i1": "Ask <PERSON_NAME>, not <PERSON_NAME>.", "i2": None, "i3": "",
+    }
