@@ -233,7 +233,7 @@ def time_split(spark, d):
 
 
 def priority_model(spark, d):
-    _, results = priority.train(_features(spark, d).where("sent_at IS NOT NULL AND hour_sent IS NOT NULL"), priority.Settings(text_features=1 << 12, max_iter=30))
+    _, results = priority.train(_features(spark, d).where("sent_at IS NOT NULL AND hour_sent IS NOT NULL"))
     return results
 
 

@@ -176,3 +176,13 @@ def test_statements_run(spark):
             spark.sql(s)
     assert spark.catalog.listColumns("silver.recipients")[1].description == "Address"
     spark.sql("DROP SCHEMA silver CASCADE")
+
+
+def test_priority_model_trains_with_the_full_settings(spark, monkeypatch):
+    from maillake.plans import mail as plans
+
+    used = []
+    monkeypatch.setattr(plans, "_features", lambda spark, d: spark.createDataFrame([], "sent_at timestamp, hour_sent int"))
+    monkeypatch.setattr(plans.priority, "train", lambda df, s=priority.Settings(): (None, used.append(s)))
+    plans.priority_model(spark, "")
+    assert used == [priority.Settings()] and used[0].text_features == 1 << 16 and used[0].max_iter == 100
