@@ -61,6 +61,10 @@ _FORMS = [
         rf"\s*(?P<y>\d{{4}})(?P<m>\d{{2}})(?P<d>\d{{2}})t(?P<h>\d{{2}})(?P<mi>\d{{2}})(?P<s>\d{{2}})?(?:[.,](?P<f>\d{{1,9}}))?(?P<ap>(?!))?{_ZONE}",
     )
 ]
+#: No date has more signs, once white space and comments are gone.
+LONG = 200
+_SPACE = re.compile(r"\s+")
+_ZONE_COMMENT = re.compile(r"\([a-z]{1,5}\)", re.IGNORECASE)
 _DIGITS = re.compile(r"\s*(\d+)\s*$")
 
 
@@ -86,6 +90,30 @@ def _micros(moment: datetime) -> int:
     return (moment - EPOCH) // timedelta(microseconds=1)
 
 
+def squeezed(text: str) -> str:
+    """``text`` with one blank for each run of white space, and without comments
+    in brackets (which nest, with escapes) but the ones that hold only a zone."""
+    out, depth, start, k = [], 0, 0, 0
+    while k < len(text):
+        c = text[k]
+        if c == "\\" and depth:
+            k += 1
+        elif c == "(":
+            if not depth:
+                start, kept = k, len(out)
+            depth += 1
+            out.append(c)
+        elif c == ")" and depth:
+            depth -= 1
+            out.append(c)
+            if not depth and not _ZONE_COMMENT.fullmatch(text[start : k + 1]):
+                del out[kept:]
+        else:
+            out.append(c)
+        k += 1
+    return _SPACE.sub(" ", "".join(out)).strip()
+
+
 def parse_instant(text: str | None, zone: str = DEFAULT_ZONE) -> tuple[int | None, int | None]:
     """``(microseconds since 1970 UTC, year as written)`` or ``(None, None)``.
 
@@ -94,8 +122,12 @@ def parse_instant(text: str | None, zone: str = DEFAULT_ZONE) -> tuple[int | Non
     that the clock shows twice means the earlier instant, one that it skips is
     read with the offset before the change.
     """
-    if not text or len(text) > 200:
+    if not text:
         return None, None
+    if len(text) > LONG or "(" in text:
+        text = squeezed(text)
+        if len(text) > LONG:
+            return None, None
     if m := _DIGITS.match(text):
         digits = m[1]
         if len(digits) == 14:

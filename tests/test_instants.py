@@ -74,3 +74,8 @@ def test_dictionary_is_extended(spark, tmp_path):
 def test_empty_table(spark):
     df = spark.createDataFrame([], "t string")
     assert with_instant(df, F.col("t")).count() == 0
+
+
+@pytest.mark.parametrize("text", ["31 Jan 2001" + " " * 300 + "03:42 -0600", "31 Jan 2001 03:42 -0600 (" + "so it says; " * 50 + "(nested) \\) )", "(" + "x" * 300 + ") 31 Jan 2001 03:42" + "\t" * 300 + "-0600 (CST)", " " * 300 + "31 Jan 2001 03:42 (CST)"])
+def test_padded_and_commented(text):
+    assert parse_instant(text)[0] == utc(2001, 1, 31, 9, 42)
