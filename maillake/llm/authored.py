@@ -194,14 +194,16 @@ def _chunks(lines: list[str], wanted: dict[int, int]) -> list[dict]:
     return out
 
 
-def _overlapping(opened: list[dict], chunks: dict[int, tuple[int, str]]) -> list[dict]:
+def _overlapping(opened: list[dict], chunks: dict[int, tuple]) -> list[dict]:
     """first and last of the open lines that exact overlaps with the chunks cover;
     none if they are all lines: that mail is sent again, not an answer that holds it."""
     words, starts = _words([o["text"] for o in opened])
     hits = []
+    # What the sender wrote first stays theirs, though another's mail may be the first with a fingerprint at its edge.
+    own = np.zeros(len(words), dtype=bool)
     for p, at, size in _prints(words, starts):
         if p in chunks:
-            offset, text = chunks[p]
+            offset, text, *mine = chunks[p]
             theirs = text.split(" ")
             if theirs[offset : offset + size] != words[at : at + size]:
                 continue
@@ -211,7 +213,10 @@ def _overlapping(opened: list[dict], chunks: dict[int, tuple[int, str]]) -> list
             z, i = at + size, offset + size
             while z < len(words) and i < len(theirs) and words[z] == theirs[i]:
                 z, i = z + 1, i + 1
-            hits.append((a, z, text))
+            if any(mine):
+                own[a:z] = True
+            else:
+                hits.append((a, z, text))
     if not hits:
         return []
     hits.sort()
@@ -225,6 +230,7 @@ def _overlapping(opened: list[dict], chunks: dict[int, tuple[int, str]]) -> list
             runs.append([a, z])
     for a, z in runs:
         covered[a:z] = sum(map(len, words[a:z])) >= LEAST_SIGNS
+    covered &= ~own
     # Each piece of the touched lines of a paragraph must compress with the chunks that touch it.
     touched = [bool(covered[a:z].any()) for a, z in zip(starts, starts[1:])]
     first_hit = 0
@@ -264,7 +270,7 @@ def _until(hits: list[tuple], k: int, end: int) -> Iterator[tuple]:
 
 
 def _history(marks: DataFrame) -> DataFrame:
-    """tbl, row_key, first, last: open lines that another sender wrote earlier in the thread.
+    """tbl, row_key, digest, first, last: open lines that another sender wrote earlier in the thread.
 
     Fingerprints are joined by (thread, fingerprint), hot ones by broadcast, and
     only what they hit is fetched: no thread is ever joined with itself. A row
@@ -279,7 +285,7 @@ def _history(marks: DataFrame) -> DataFrame:
     each = lookup(mails, threads, ["thread_key"]).where("several").select("mail", "thread_key", "writer", "at", F.explode("prints").alias("print"))
     first = each.groupBy("thread_key", "print").agg(F.min(F.struct("at", "writer", "mail")).alias("o"), F.count("*").alias("n"), F.min("writer").alias("a"), F.max("writer").alias("z"))
     first = first.where("a <> z").select("thread_key", "print", F.col("o.at").alias("origin_at"), F.col("o.writer").alias("origin"), F.col("o.mail").alias("source"), "n")
-    hits = lookup(each, materialise(spark, first, "origins"), ["thread_key", "print"]).where("origin_at < at AND origin <> writer").select("mail", "print", "source").distinct()
+    hits = lookup(each, materialise(spark, first, "origins"), ["thread_key", "print"]).where("origin_at < at").select("mail", "print", "source", F.expr("origin = writer").alias("mine")).distinct()
     hits = materialise(spark, hits, "hits")
 
     line = "array<struct<first:bigint,last:bigint>>"
@@ -294,36 +300,72 @@ def _history(marks: DataFrame) -> DataFrame:
     def overlapping(opened, known):
         import pandas as pd
 
-        return pd.Series([_overlapping(list(os), {c["print"]: (c["offset"], c["words"]) for c in cs}) for os, cs in zip(opened, known)], dtype=object)
+        return pd.Series([_overlapping(list(os), {c["print"]: (c["offset"], c["words"], c["mine"]) for c in cs}) for os, cs in zip(opened, known)], dtype=object)
 
     wanted = hits.groupBy("source", "print").agg(F.count("*").alias("n")).groupBy("source").agg(F.collect_list(F.struct("print", "n")).alias("wanted"))
-    texts = marks.select("tbl", "row_key", "mail", F.transform("open", lambda o: F.struct(o["text"].alias("text"), o["first"].alias("first"), o["last"].alias("last"), o["paragraph"].alias("paragraph"))).alias("open"))
+    texts = marks.select("tbl", "row_key", "digest", "mail", F.transform("open", lambda o: F.struct(o["text"].alias("text"), o["first"].alias("first"), o["last"].alias("last"), o["paragraph"].alias("paragraph"))).alias("open"))
     pieces = texts.join(wanted, texts["mail"] == wanted["source"]).select("source", F.explode(chunks("open", "wanted")).alias("c")).select("source", "c.*")
     pieces = pieces.groupBy("source", "print").agg(F.max("n").alias("n"), F.min(F.struct("offset", "words")).alias("c"))
     known = lookup(hits, materialise(spark, pieces, "pieces"), ["source", "print"]).where("c IS NOT NULL")
-    known = known.groupBy("mail").agg(F.collect_list(F.struct("print", "c.offset", "c.words")).alias("known"))
-    return texts.join(known, "mail").select("tbl", "row_key", F.explode(overlapping("open", "known")).alias("l")).select("tbl", "row_key", "l.*")
+    known = known.groupBy("mail").agg(F.collect_list(F.struct("print", "c.offset", "c.words", "mine")).alias("known"))
+    return texts.join(known, "mail").select("tbl", "row_key", "digest", F.explode(overlapping("open", "known")).alias("l")).select("tbl", "row_key", "digest", "l.*")
 
 
 def _repeated_closings(marks: DataFrame) -> DataFrame:
-    """tbl, row_key, first, last: lines that the sender repeats behind the closing words of several threads."""
-    lines = marks.where("sender <> ''").select("tbl", "row_key", "thread", "sender", F.explode("open").alias("o")).where("o.line_key IS NOT NULL").select("tbl", "row_key", "thread", "sender", "o.*")
+    """tbl, row_key, digest, first, last: lines that the sender repeats behind the closing words of several threads."""
+    lines = marks.where("sender <> ''").select("tbl", "row_key", "digest", "thread", "sender", F.explode("open").alias("o")).where("o.line_key IS NOT NULL").select("tbl", "row_key", "digest", "thread", "sender", "o.*")
     repeated = lines.groupBy("tbl", "sender", "line_key").agg(F.approx_count_distinct("thread").alias("threads"), F.count("*").alias("n"), F.lit(True).alias("repeated"))
     repeated = repeated.where(F.col("threads") >= LEAST_THREADS).drop("threads")
-    return lookup(lines, repeated, ["tbl", "sender", "line_key"]).where("repeated").select("tbl", "row_key", "first", "last")
+    return lookup(lines, repeated, ["tbl", "sender", "line_key"]).where("repeated").select("tbl", "row_key", "digest", "first", "last")
 
 
 def known_elsewhere(marks: DataFrame) -> DataFrame:
-    """tbl, row_key, first, last: open lines that the dictionaries prove not new."""
+    """tbl, row_key, digest, first, last: open lines that the dictionaries prove not new."""
     return _history(marks).unionByName(_repeated_closings(marks))
 
 
+def _lines_of_others(mails: DataFrame, names: NameModel) -> DataFrame:
+    """tbl, row_key, digest, line_no; a key that stands before several texts has lines for each."""
+    marks = materialise(mails.sparkSession, mark_structure(mails, names), "marks")
+    by_structure = marks.select("tbl", "row_key", "digest", F.explode("marked").alias("line_no"))
+    by_others = known_elsewhere(marks).select("tbl", "row_key", "digest", F.explode(F.sequence("first", "last")).alias("line_no"))
+    return by_structure.unionByName(by_others)
+
+
 def not_own_lines(mails: DataFrame, names: NameModel) -> DataFrame:
     """tbl, row_key, line_no of every non-blank line not newly written by the sender."""
-    marks = materialise(mails.sparkSession, mark_structure(mails, names), "marks")
-    by_structure = marks.select("tbl", "row_key", F.explode("marked").alias("line_no"))
-    by_others = known_elsewhere(marks).select("tbl", "row_key", F.explode(F.sequence("first", "last")).alias("line_no"))
-    return by_structure.unionByName(by_others).distinct()
+    return _lines_of_others(mails, names).drop("digest").distinct()
+
+
+def own_texts(mails: DataFrame, names: NameModel) -> DataFrame:
+    """tbl, row_key, new_text of every mail: its body without the lines of ``not_own_lines``,
+    the others as they stand, in order. Null stays null, empty stays empty, and a
+    message without body has null."""
+
+    @F.pandas_udf("struct<body:string,digest:bigint>")
+    def bodies(texts, messages):
+        import pandas as pd
+
+        found = [body_of(t) if m else t for t, m in zip(texts, messages)]
+        return pd.DataFrame({"body": pd.Series(found, dtype=object), "digest": pd.Series([xxhash.xxh64_intdigest(x) - (1 << 63) if x else None for x in found], dtype="Int64")})
+
+    @F.pandas_udf("string")
+    def without(texts, gone):
+        import pandas as pd
+
+        out = []
+        for text, lines in zip(texts, gone):
+            if text and lines is not None:
+                drop = set(lines)
+                text = "\n".join(x for n, x in enumerate(text.split("\n"), 1) if n not in drop)
+            out.append(text)
+        return pd.Series(out, dtype=object)
+
+    # One key for the join, which a null row_key has too.
+    key = F.xxhash64("tbl", F.coalesce("row_key", F.lit("")), "digest").alias("mail")
+    gone = _lines_of_others(mails, names).groupBy(key).agg(F.collect_set("line_no").alias("gone"))
+    held = mails.select("tbl", "row_key", bodies("text", "is_message").alias("b")).select("tbl", "row_key", "b.*").select("tbl", "row_key", "body", key)
+    return held.join(gone, "mail", "left").select("tbl", "row_key", without("body", "gone").alias("new_text"))
 
 
 def archive_mails(raw_emails: DataFrame, emails: DataFrame) -> DataFrame:
@@ -338,7 +380,10 @@ def archive_mails(raw_emails: DataFrame, emails: DataFrame) -> DataFrame:
 
 def new_text(df: DataFrame, column: str, names: NameModel, out: str = "new_text") -> DataFrame:
     """``df`` plus ``out``: the text without the lines that structure tells apart,
-    in order, line ends as they were. Null stays null, empty stays empty."""
+    in order, line ends as they were. Null stays null, empty stays empty.
+
+    For texts without headers and thread; mails of an archive go through ``own_texts``.
+    """
 
     @F.pandas_udf("string")
     def run(texts):

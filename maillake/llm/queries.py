@@ -60,6 +60,13 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return authored.not_own_lines(mails, names).select("tbl", "row_key", "line_no")
 
 
+def p7_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The newly written text of every mail of both tables."""
+    names = pii.name_model(table(spark, sf_dir, "people"))
+    mails = spread(authored.archive_mails(table(spark, sf_dir, "raw_emails"), table(spark, sf_dir, "emails")))
+    return authored.own_texts(mails, names)
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     emails = table(spark, sf_dir, "emails")
     grouped = copies.group_copies(emails, "message_id", copies.canonical_mail(emails))
@@ -102,7 +109,7 @@ def p10_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "p3_percentiles": p3_percentiles, "p3_daily": p3_daily,
     "p8_ids": p8_ids, "p8_decoded": p8_decoded, "p9_bins": p9_bins, "p9_fill": p9_fill,
-    "p7_found": p7_found, "p6_found": p6_found, "p6_records": p6_records, "p10_found": p10_found, "p10_shares": p10_shares,
+    "p7_found": p7_found, "p7_text": p7_text, "p6_found": p6_found, "p6_records": p6_records, "p10_found": p10_found, "p10_shares": p10_shares,
     "p1_found": p1_found, "p1_placeholders": p1_placeholders, "p1_redacted": p1_redacted, "p1_surrogates": p1_surrogates,
 }
 ORACLES = SQL

@@ -138,3 +138,18 @@ def test_new_text(spark):
 def test_very_long_body():
     assert marked("word " * 100_000 + "\n> old") == [2]
     assert len(marked("\n".join(["> old"] * 20_000))) == 20_000
+
+
+def test_own_texts_of_messages_and_history(spark):
+    message = "Subject: x\r\nContent-Transfer-Encoding: quoted-printable\r\n\r\nmine =\r\nmore\r\nLe 9/12/1998, Ilvette a =C3=A9crit :\r\n| old =\r\nold goes on\r\n"
+    rows = [
+        *[("raw_emails", "f", message, True, None, None, None)] * 2,
+        ("raw_emails", "g", "no body", True, None, None, None), ("raw_emails", "h", None, True, None, None, None),
+        ("emails", "1", PARENT, False, "Reserve", "a@x", "1 Jan 2001 10:00:00 +0000"),
+        ("emails", "2", "OK, done.\n\n" + PARENT, False, "RE: reserve", "b@x", "2 Jan 2001 10:00:00 +0000"),
+        ("emails", "3", "", False, None, None, None), ("emails", None, "mine\n> old", False, None, None, None),
+    ]
+    got = [tuple(r) for r in A.own_texts(mails(spark, rows), NAMES).collect()]
+    own = ("raw_emails", "f", "mine =\r\nmore\r\n")
+    want = [own, own, ("raw_emails", "g", None), ("raw_emails", "h", None), ("emails", "1", PARENT), ("emails", "2", "OK, done.\n"), ("emails", "3", ""), ("emails", None, "mine")]
+    assert sorted(got, key=str) == sorted(want, key=str)
