@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 # Notations of Date headers that are read, with and without offset.
 WITH_OFFSET = ["d MMM yyyy HH:mm:ss Z", "d MMM yyyy HH:mm Z"]
 WITHOUT_OFFSET = ["d MMM yyyy HH:mm:ss", "d MMM yyyy HH:mm"]
+# What a Date header may have around the date - a comment at its end, a weekday at its beginning.
+NOISE = [r"\s*\([^)]*\)\s*$", r"^[A-Za-z]{3},\s*"]
 
 
 def unix_lines(message: Column) -> Column:
@@ -53,7 +55,9 @@ def with_dates(df: DataFrame, value: str) -> DataFrame:
 
     The tidied header is a step of its own, so it isn't computed for each notation.
     """
-    tidy = F.regexp_replace(F.regexp_replace(value, r"\s*\([^)]*\)\s*$", ""), r"^[A-Za-z]{3},\s*", "")
+    tidy = value
+    for pattern in NOISE:
+        tidy = F.regexp_replace(tidy, pattern, "")
     read = lambda text, notations: F.coalesce(*(F.try_to_timestamp(text, F.lit(n)) for n in notations))
     step = df.withColumn("_bare", F.trim(F.regexp_replace(tidy, r"\s+", " ")))
     wall = F.regexp_replace("_bare", r"\s*[+-]\d{4}$", "")

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from maillake.functions import clock, headers, text
 from maillake.session import materialise
@@ -87,20 +86,26 @@ def clean_columns(parsed: DataFrame) -> DataFrame:
     )
 
 
-def first_per(df: DataFrame, keys: list[str], *order: Column) -> DataFrame:
-    """The first row of each key in ``order``; null keys are one group.
-
-    Spark prunes to one row per key on both sides of the shuffle
-    (WindowGroupLimit), so a hot key moves one row per task.
-    """
-    place = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
-    return df.withColumn("_place", place).where("_place = 1").drop("_place")
+def lowest_file(handles: DataFrame, keys: list[str]) -> DataFrame:
+    """Of each key's handles the one with the lowest file, as text; null keys are
+    one group. An aggregate with partial results: a hot key moves one row per task."""
+    rest = [c for c in handles.columns if c not in keys]
+    kept = handles.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.struct("file", "_row")).alias("_kept"))
+    return kept.select(*keys, "_kept.*")
 
 
 def deduplicate(mails: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(after the pass over message_id, after the pass over content); both keep the lowest file, as text."""
-    by_id = first_per(mails, ["message_id"], F.col("file"))
-    return by_id, first_per(by_id, CONTENT_KEY, F.col("file"))
+    """(after the pass over message_id, after the pass over content); both keep the lowest file, as text.
+
+    Both passes run on handles - the keys, the file and a hash of the row - and
+    the rows are fetched by them at the end: no body goes through the passes.
+    Rows that are equal in all columns are one.
+    """
+    hashed = mails.withColumns({"_row": F.xxhash64(*mails.columns), "_file": F.coalesce("file", F.lit(""))})
+    by_id = lowest_file(hashed.select("message_id", *CONTENT_KEY, "file", "_file", "_row"), ["message_id"])
+    by_content = lowest_file(by_id, CONTENT_KEY)
+    fetch = lambda kept: hashed.join(kept.select("_file", "_row"), ["_file", "_row"], "left_semi").dropDuplicates(["_file", "_row"]).select(*mails.columns)
+    return fetch(by_id), fetch(by_content)
 
 
 def recipient_rows(mails: DataFrame) -> DataFrame:
@@ -125,8 +130,7 @@ def load_archive(raw: DataFrame, max_share: float = MAX_QUARANTINE_SHARE) -> tup
     if sizes["bronze_rows"] and sizes["quarantined_rows"] / sizes["bronze_rows"] > max_share:
         raise ValueError(f"{sizes['quarantined_rows']} of {sizes['bronze_rows']} rows are quarantined; the limit is {max_share:.0%}")
     by_id, final = deduplicate(clean_columns(judged.where("reason IS NULL").drop("reason")))
-    by_id = materialise(spark, by_id, "by_id")
-    final = materialise(spark, first_per(by_id, CONTENT_KEY, F.col("file")), "mails")
+    final = materialise(spark, final, "mails")
     recipients = recipient_rows(final)
     counts = {
         **sizes,

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.ml import Pipeline, PipelineModel
@@ -13,13 +14,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from maillake.operators.features import FEATURES, LABEL
+from maillake.operators.ranks import values_at
 from maillake.session import materialise
 
-#: Heavy-tailed counts that enter as log(1 + x).
+# Heavy-tailed counts that enter as log(1 + x).
 LOGGED = [
     "body_length", "word_count", "to_count", "cc_count", "recipient_count", "thread_position",
     "sender_prior_emails", "prior_emails_to_recipients", "prior_replies_from_recipients",
 ]
+# Thresholds of the sweep, and settings of the model.
 THRESHOLDS = [round(0.10 + 0.05 * k, 2) for k in range(18)]
 LEAK_ALARM_F1 = 0.95
 
@@ -44,12 +47,16 @@ class Metrics:
 
 
 def time_split(df: DataFrame, fraction: float) -> tuple[DataFrame, DataFrame, str]:
-    """(earlier rows, the last ``fraction`` of them by time, the cut as text)."""
+    """(earlier rows, the last ``fraction`` of them by time, the cut as text).
+
+    The cut is the exact quantile of the known times, in whole seconds. Rows
+    without time are among the earlier ones: they say nothing of the last period.
+    """
     seconds = F.unix_timestamp("sent_at").cast("double")
-    cut = df.select(seconds.alias("s")).approxQuantile("s", [1 - fraction], 0.001)
+    _, cut = values_at(df, seconds, lambda n: [max(0, math.ceil((1 - fraction) * n) - 1)] if n else [])
     if not cut:
         raise ValueError("no rows to split")
-    late = seconds >= cut[0]
+    late = F.coalesce(seconds >= cut[0], F.lit(False))
     text = df.sparkSession.range(1).select(F.date_format(F.timestamp_seconds(F.lit(cut[0])), "yyyy-MM-dd HH:mm:ss")).first()[0]
     return df.where(~late), df.where(late), text
 
@@ -68,11 +75,13 @@ def numeric_names() -> list[str]:
 
 
 def pipeline(s: Settings) -> Pipeline:
-    """Hashed TF-IDF of the text and scaled numbers into a logistic regression."""
+    """Hashed TF-IDF of the text and scaled numbers into a logistic regression; an
+    unknown number, such as the hour of mail without time, counts as 0."""
     words = [Tokenizer(inputCol="text", outputCol="_tokens"), StopWordsRemover(inputCol="_tokens", outputCol="_words")]
     weighed = [HashingTF(inputCol="_words", outputCol="_tf", numFeatures=s.text_features), IDF(inputCol="_tf", outputCol="_tfidf", minDocFreq=s.min_doc_freq)]
-    logs = SQLTransformer(statement="SELECT *, " + ", ".join(f"log1p({c}) AS {c}_log" for c in LOGGED) + " FROM __THIS__")
-    numbers = [VectorAssembler(inputCols=numeric_names(), outputCol="_numbers"), StandardScaler(inputCol="_numbers", outputCol="_scaled", withMean=False)]
+    plain = [c for c in FEATURES if c not in LOGGED]
+    logs = SQLTransformer(statement="SELECT *, " + ", ".join([f"log1p({c}) AS {c}_log" for c in LOGGED] + [f"coalesce({c}, 0) AS {c}_known" for c in plain]) + " FROM __THIS__")
+    numbers = [VectorAssembler(inputCols=[c if c.endswith("_log") else f"{c}_known" for c in numeric_names()], outputCol="_numbers"), StandardScaler(inputCol="_numbers", outputCol="_scaled", withMean=False)]
     joint = VectorAssembler(inputCols=["_scaled", "_tfidf"], outputCol="features")
     model = LogisticRegression(labelCol=LABEL, weightCol="class_weight", regParam=s.reg_param, elasticNetParam=s.elastic_net, maxIter=s.max_iter)
     return Pipeline(stages=[logs, *words, *weighed, *numbers, joint, model])

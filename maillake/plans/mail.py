@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from maillake.functions import clock, headers, rules, text
-from maillake.operators import analytics, catalog, features, mail, priority
+from maillake.operators import analytics, catalog, features, mail, priority, reports
 from maillake.session import materialise
 from maillake.sources.files import null_audit
 from maillake.sources.tables import table
@@ -228,12 +228,13 @@ def rule_baseline(spark, d):
 
 
 def time_split(spark, d):
-    before, after, cut = priority.time_split(_emails(spark, d).where("sent_at IS NOT NULL").select("message_id", "sent_at"), 0.2)
+    before, after, cut = priority.time_split(_emails(spark, d).select("message_id", "sent_at"), 0.2)
     return before.select("message_id", F.lit("train").alias("part"), F.lit(cut).alias("cut")).union(after.select("message_id", F.lit("test"), F.lit(cut)))
 
 
 def priority_model(spark, d):
-    _, results = priority.train(_features(spark, d).where("sent_at IS NOT NULL AND hour_sent IS NOT NULL"))
+    """Full settings, all rows."""
+    _, results = priority.train(_features(spark, d))
     return results
 
 
@@ -245,6 +246,43 @@ def data_dictionary(spark, d):
     return catalog.dictionary_rows(spark)
 
 
+#: Registered tables that the archive has as files.
+_FILED = {"bronze.raw_emails": "raw_emails", "silver.emails": "emails", "silver.recipients": "recipients", "silver.dq_quarantine": "dq_quarantine", "gold.reply_pairs": "reply_pairs"}
+
+
+def documented_columns(spark, d):
+    """Columns that the registry knows of the archive's tables; SQL reads them off the tables themselves."""
+    rows = spark.createDataFrame(list(_FILED.items()), "table_name string, filed_as string")
+    return catalog.dictionary_rows(spark).join(F.broadcast(rows), "table_name").select("filed_as", "column_name")
+
+
+def personal_columns(spark, d):
+    return catalog.personal_columns(spark)
+
+
+def rule_quality(spark, d):
+    """The meeting rule over labelled mails; here a label says that the Subject line speaks of a meeting."""
+    labelled = _raw(spark, d).dropDuplicates(["file"]).select("file", "message")
+    subject = headers.header(headers.header_block(F.col("message")), "Subject")
+    return analytics.labelled_rule_quality(labelled.withColumn("is_meeting", F.rlike(subject, F.lit(r"(?i)\bmeeting"))))
+
+
+def chart_weeks(spark, d):
+    return reports.chart_weeks(weekly_volume(spark, d))
+
+
+def chart_months(spark, d):
+    """Months with at least 20 mails; the report's floor is for the full archive."""
+    return reports.chart_months(monthly_categories(spark, d), 20)
+
+
+def share_gate(spark, d):
+    """Share of quarantined rows and whether the default limit lets the load pass."""
+    judged = _judged(spark, d)
+    share = F.count("reason") / F.count("*")
+    return judged.agg(F.round(share, 6).alias("share"), (share <= mail.MAX_QUARANTINE_SHARE).alias("passes"))
+
+
 QUERIES = {
     "raw_messages": raw_messages, "null_audit": null_audit_query, "header_fields": header_fields, "address_lists": address_lists,
     "date_parse": date_parse, "body_decode": body_decode, "body_clean": body_clean, "subject_threads": subject_threads, "clock_fix": clock_fix,
@@ -256,9 +294,12 @@ QUERIES = {
     "content_features": content_features, "contact_history": contact_history, "reply_history": reply_history, "eligible_mail": eligible_mail,
     "message_features": message_features, "class_weights": class_weights, "threshold_sweep": threshold_sweep, "rule_baseline": rule_baseline,
     "time_split": time_split, "priority_model": priority_model, "governance_ddl": governance_ddl, "data_dictionary": data_dictionary,
+    "documented_columns": documented_columns, "personal_columns": personal_columns, "rule_quality": rule_quality, "chart_weeks": chart_weeks,
+    "chart_months": chart_months, "share_gate": share_gate,
 }
 
 # --- DuckDB SQL --------------------------------------------------------------------------------
+# Patterns, bounds and names are written out here on their own, so a wrong one in the operators shows.
 
 _HEADER = "nullif(trim(regexp_extract(block, '(?im)^{0}:[ \\t]*([^\\n]*)', 1)), '')"
 _ADDRESS = "CASE WHEN length(regexp_extract(lower(trim({0})), '<([^>]*)>', 1)) > 0 THEN trim(regexp_extract(lower(trim({0})), '<([^>]*)>', 1)) ELSE lower(trim({0})) END"
@@ -298,21 +339,35 @@ judged AS (SELECT *, nullif(concat_ws('; ', CASE WHEN message_id IS NULL THEN 'm
 
 def _sql_decoded() -> str:
     t = "replace(body, '=' || chr(10), '')"
-    for code, char in text.ESCAPES:
-        t = f"replace({t}, '{code}', {'chr(9)' if char == chr(9) else 'chr(39)' if char == chr(39) else chr(39) + char + chr(39)})"
+    for code, char in (("=09", "chr(9)"), ("=20", "' '"), ("=3D", "'='"), ("=91", "chr(39)"), ("=92", "chr(39)"), ("=93", "chr(34)"), ("=94", "chr(34)"), ("=96", "'-'"), ("=97", "'-'")):
+        t = f"replace({t}, '{code}', {char})"
     return f"CASE WHEN transfer_encoding = 'quoted-printable' THEN regexp_replace({t}, '=[0-9A-F]{{2}}', '', 'g') ELSE body END"
 
 
 _ONE_LINE = r"trim(regexp_replace({0}, '\s+', ' ', 'g'))"
 _FULL = _ONE_LINE.format(_sql_decoded())
-_CLEAN = _ONE_LINE.format(f"regexp_replace({_sql_decoded()}, '{text.QUOTED_REST}', '', 'g')")
+#: Where quoted text or a signature begins, one pattern for each of its forms; the body ends at the first that is met.
+_CUTS = [
+    r"--+\s*Original Message\s*--+", r"------*\s*Forwarded by", r"From:[ \t].*\n(?:.*\n){0,3}?[ \t]*(?:To|Sent|Date):", r"To:[ \t]", r"On .{0,100}wrote:", r">",
+    r".*\n[ \t]*[0-9]{1,2}/[0-9]{1,2}/[0-9]{2,4}\s+[0-9]{1,2}:[0-9]{2}(?::[0-9]{2})?\s*[AP]M[ \t]*\n(?:[ \t]*\n)*[ \t]*To:",
+    r".*[^\s][ \t]+(?:on[ \t]+)?[0-9]{1,2}/[0-9]{1,2}/[0-9]{2,4}\s+[0-9]{1,2}:[0-9]{2}(?::[0-9]{2})?\s*[AP]M[ \t]*\n(?:[ \t]*\n)*[ \t]*To:",
+    r"--[ \t]*(?:\n|$)",
+]
+
+
+def _sql_clean() -> str:
+    decoded = _sql_decoded()
+    return _ONE_LINE.format(f"regexp_replace({decoded}, '(?s)(?m:^)[ \\t]*(?:{'|'.join(f'(?-s:{c})' for c in _CUTS)}).*', '')")
+
+
+_CLEAN = _sql_clean()
 _FIXED = "CASE WHEN source_system = 'lotus_notes' THEN ((sent_at AT TIME ZONE 'America/Chicago') AT TIME ZONE 'UTC') ELSE sent_at END"
 _SILVER = _JUDGED + f""",
 silver AS (SELECT message_id, file, sender, subject, {_FIXED} AS sent_fixed, sha256(body) AS body_hash FROM judged WHERE reason IS NULL),
 by_id AS (SELECT * FROM silver QUALIFY row_number() OVER (PARTITION BY message_id ORDER BY file) = 1),
 by_content AS (SELECT * FROM by_id QUALIFY row_number() OVER (PARTITION BY sender, sent_fixed, subject, body_hash ORDER BY file) = 1)"""
 _EVERYONE = "list_concat(coalesce(to_addresses, []::VARCHAR[]), coalesce(cc_addresses, []::VARCHAR[]))"
-_MEETING = rules.MEETING.replace("'", "''")
+_MEETING = r"(?i)\b(meeting|meetings|appointment|appointments|conference call|conference calls|conf call|conf calls|conf\. call|conf\. calls|reschedule|rescheduled|postponed|canceled|cancelled|agenda|lets meet|let''s meet|can we meet|could we meet|to meet)\b"
 _FLAGGED = rf"""
 flagged AS (SELECT *, {_EVERYONE} AS everyone,
     ends_with(sender, '@northmere.example') AND len({_EVERYONE}) > 0 AND len(list_filter({_EVERYONE}, lambda r: NOT ends_with(r, '@northmere.example'))) = 0 AS is_internal,
@@ -358,16 +413,26 @@ _LABELS = """
 labels AS (SELECT original_id AS message_id, CASE WHEN min(response_minutes) <= 120 THEN 1 ELSE 0 END AS label_replied_2h FROM pairs GROUP BY 1)"""
 
 
+_URGENT = {
+    "has_urgent": r"(?i)\burgent\b", "has_asap": r"(?i)(\basap\b|as soon as possible)", "has_deadline": r"(?i)(\bdeadline\b|\bby (today|tomorrow|eod|end of day|end of the day)\b)",
+    "has_action_request": r"(?i)\bplease (respond|reply|confirm|review|advise|call|let me know)\b", "has_important": r"(?i)\bimportant\b",
+}
+_FEATURES = (
+    "body_length word_count to_count cc_count recipient_count is_reply is_forward thread_position has_question sender_is_internal sender_prior_emails prior_emails_to_recipients "
+    "prior_replies_from_recipients hour_sent weekday_sent is_after_hours is_meeting has_urgent has_asap has_deadline has_action_request has_important"
+).split()
+
+
 def _sql_urgency(as_int: bool) -> str:
     return ", ".join(
         (f"CASE WHEN {m} THEN 1 ELSE 0 END AS {n}" if as_int else f"{m} AS {n}")
-        for n, p in rules.URGENCY.items()
+        for n, p in _URGENT.items()
         for m in [f"regexp_matches(concat_ws(' ', coalesce(subject, ''), coalesce(body_clean, '')), '{p}')"]
     )
 
 
 _CONTENT = _FLAGGED + rf""",
-content AS (SELECT message_id, length(body_clean)::INT AS body_length, len(list_filter(regexp_split_to_array(body_clean, '\s+'), lambda w: w <> ''))::INT AS word_count,
+content AS (SELECT message_id, coalesce(length(body_clean), 0)::INT AS body_length, len(list_filter(regexp_split_to_array(coalesce(body_clean, ''), '\s+'), lambda w: w <> ''))::INT AS word_count,
     coalesce(len(to_addresses), 0)::INT AS to_count, coalesce(len(cc_addresses), 0)::INT AS cc_count, (coalesce(len(to_addresses), 0) + coalesce(len(cc_addresses), 0))::INT AS recipient_count,
     CASE WHEN is_reply THEN 1 ELSE 0 END AS is_reply, CASE WHEN is_forward THEN 1 ELSE 0 END AS is_forward,
     CASE WHEN subject_normalised = '' THEN 0 ELSE row_number() OVER (PARTITION BY subject_normalised ORDER BY epoch_us(sent_at) NULLS FIRST, message_id) - 1 END::INT AS thread_position,
@@ -376,13 +441,13 @@ content AS (SELECT message_id, length(body_clean)::INT AS body_length, len(list_
     hour(sent_at_houston)::INT AS hour_sent, (dayofweek(sent_at_houston) + 1)::INT AS weekday_sent, CASE WHEN is_after_hours THEN 1 ELSE 0 END AS is_after_hours,
     CASE WHEN is_meeting THEN 1 ELSE 0 END AS is_meeting, {_sql_urgency(True)} FROM flagged)"""
 _ALL_FEATURES = ",".join([_CONTENT, _EDGES, _PAIRS, _OWNERS, _CONTACT, _HISTORY, _ELIGIBLE, _LABELS]) + f""",
-feats AS (SELECT message_id, {', '.join(f'coalesce({c}, 0) AS {c}' if c.startswith('prior_') else c for c in features.FEATURES)}, coalesce(label_replied_2h, 0) AS label_replied_2h
+feats AS (SELECT message_id, {', '.join(f'coalesce({c}, 0) AS {c}' if c.startswith('prior_') else c for c in _FEATURES)}, coalesce(label_replied_2h, 0) AS label_replied_2h
     FROM content JOIN eligible USING (message_id) LEFT JOIN contacts USING (message_id) LEFT JOIN history USING (message_id) LEFT JOIN labels USING (message_id))"""
 _SCORED = _ALL_FEATURES + """,
 scored AS (SELECT label_replied_2h AS y, prior_replies_from_recipients / (prior_replies_from_recipients + 1) AS score, prior_replies_from_recipients > 0 AS said FROM feats)"""
-_THRESHOLDS = ", ".join(f"({t}::DOUBLE)" for t in priority.THRESHOLDS)
+_THRESHOLDS = ", ".join(f"({t / 100}::DOUBLE)" for t in range(10, 100, 5))
 _F1 = "CASE WHEN tp = 0 THEN 0.0 ELSE 2 * (tp / (tp + fp)) * (tp / (tp + fn)) / (tp / (tp + fp) + tp / (tp + fn)) END"
-_BUCKET_ROWS = ", ".join(f"('{name}', {k}, {low}, {high})" for k, ((name, high), low) in enumerate(zip(analytics.BUCKETS, [0, *(b for _, b in analytics.BUCKETS)])))
+_BUCKET_ROWS = "('<15 min', 0, 0, 15), ('15-60 min', 1, 15, 60), ('1-2 h', 2, 60, 120), ('2-4 h', 3, 120, 240), ('4-8 h', 4, 240, 480), ('8-24 h', 5, 480, 1440), ('1-3 days', 6, 1440, 4320), ('3-14 days', 7, 4320, 20160)"
 _KNOWN = "response_minutes IS NOT NULL AND NOT isnan(response_minutes)"
 
 
@@ -394,7 +459,7 @@ ORACLES = {
     "date_parse": f"WITH {_PARSED} SELECT file, date_raw, epoch_us(sent_at) AS sent_micros, strftime(sent_at_local, '%Y-%m-%d %H:%M:%S') AS sent_at_local FROM parsed",
     "body_decode": f"WITH {_PARSED} SELECT file, md5({_FULL}) AS body_full FROM parsed",
     "body_clean": f"WITH {_PARSED} SELECT file, {_CLEAN} AS body_clean FROM parsed",
-    "subject_threads": rf"SELECT message_id, trim(regexp_replace(regexp_replace(lower(coalesce(subject, '')), '{text.REPLY_MARKS}', ''), '\s+', ' ', 'g')) AS thread, coalesce(regexp_matches(lower(subject), '{text.REPLY}'), false) AS reply, coalesce(regexp_matches(lower(subject), '{text.FORWARD}'), false) AS forward FROM emails",
+    "subject_threads": rf"SELECT message_id, trim(regexp_replace(regexp_replace(lower(coalesce(subject, '')), '^(\s*(re|fw|fwd)\s*(\[[0-9]+\])?\s*:\s*)+', ''), '\s+', ' ', 'g')) AS thread, coalesce(regexp_matches(lower(subject), '^\s*re\s*:'), false) AS reply, coalesce(regexp_matches(lower(subject), '^\s*(fw|fwd)\s*:'), false) AS forward FROM emails",
     "clock_fix": f"WITH {_PARSED} SELECT file, source_system, strftime((({_FIXED}) AT TIME ZONE 'UTC') AT TIME ZONE 'America/Chicago', '%Y-%m-%d %H:%M:%S') AS office_time FROM parsed WHERE sent_at IS NOT NULL",
     "quality_pass": f"WITH {_JUDGED} SELECT file, message_id, sender FROM judged WHERE reason IS NULL",
     "quality_quarantine": f"WITH {_JUDGED} SELECT file, message_id, sender, reason FROM judged WHERE reason IS NOT NULL",
@@ -424,5 +489,12 @@ ORACLES = {
     "class_weights": f"WITH {_ALL_FEATURES} SELECT label_replied_2h, round(CASE WHEN label_replied_2h = 1 THEN (SELECT (1 - avg(label_replied_2h)) / avg(label_replied_2h) FROM feats) ELSE 1.0 END, 6) AS class_weight FROM feats GROUP BY 1",
     "threshold_sweep": f"WITH {_SCORED}, t(threshold) AS (VALUES {_THRESHOLDS}), swept AS (SELECT threshold, count(*) FILTER (WHERE score >= threshold AND y = 1) AS tp, count(*) FILTER (WHERE score >= threshold AND y = 0) AS fp, count(*) FILTER (WHERE score < threshold AND y = 1) AS fn FROM t, scored GROUP BY 1) SELECT threshold, tp, fp, fn, round({_F1}, 6) AS f1 FROM swept",
     "rule_baseline": f"WITH {_SCORED}, c AS (SELECT count(*) FILTER (WHERE said AND y = 1) AS tp, count(*) FILTER (WHERE said AND y = 0) AS fp, count(*) FILTER (WHERE NOT said AND y = 1) AS fn FROM scored) SELECT 'prior_reply_rule' AS model, round(CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0.0 END, 6) AS precision, round(CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0.0 END, 6) AS recall, round({_F1}, 6) AS f1, tp + fp AS positives FROM c",
+    "time_split": "WITH seconds AS (SELECT message_id, floor(epoch_us(sent_at) / 1000000) AS s FROM emails), cut AS (SELECT quantile_disc(s, 0.8) AS c FROM seconds WHERE s IS NOT NULL) SELECT message_id, CASE WHEN s >= c THEN 'test' ELSE 'train' END AS part, strftime(make_timestamp((c * 1000000)::BIGINT), '%Y-%m-%d %H:%M:%S') AS cut FROM seconds, cut",
+    "documented_columns": "SELECT table_name AS filed_as, column_name FROM information_schema.columns WHERE table_name IN ('raw_emails', 'emails', 'recipients', 'dq_quarantine', 'reply_pairs')",
+    "personal_columns": "SELECT split_part(p, ' ', 1) AS table_name, unnest(string_split(split_part(p, ' ', 2), ',')) AS column_name FROM (VALUES ('bronze.raw_emails message'), ('silver.emails sender,to_addresses,cc_addresses,subject,body_clean,body_full'), ('silver.recipients recipient'), ('silver.dq_quarantine sender,to_addresses,cc_addresses,bcc_addresses,subject,body'), ('gold.reply_pairs replier,original_sender'), ('gold.person_activity person'), ('gold.message_features sender,text')) v(p)",
+    "rule_quality": f"WITH {_PARSED}, one AS (SELECT DISTINCT file, subject, {_FULL} AS body_full FROM parsed), said AS (SELECT regexp_matches(coalesce(subject, '') || ' ' || body_full, '{_MEETING}') AS p, coalesce(subject IS NOT NULL AND regexp_matches(subject, '(?i)\\bmeeting'), false) AS y FROM one), c AS (SELECT count(*) FILTER (WHERE p AND y) AS tp, count(*) FILTER (WHERE p AND NOT y) AS fp, count(*) FILTER (WHERE NOT p AND y) AS fn FROM said) SELECT tp, fp, fn, round(CASE WHEN tp > 0 THEN tp / (tp + fp) ELSE 0.0 END, 4) AS precision, round(CASE WHEN tp > 0 THEN tp / (tp + fn) ELSE 0.0 END, 4) AS recall, round(CASE WHEN tp > 0 THEN 2 * tp / (2 * tp + fp + fn) ELSE 0.0 END, 4) AS f1 FROM c",
+    "chart_weeks": f"WITH {_WEEKLY} SELECT * FROM weekly WHERE week_start BETWEEN DATE '1999-07-01' AND DATE '2002-03-01'",
+    "chart_months": f"WITH {_MONTHLY} SELECT * FROM monthly WHERE month BETWEEN DATE '1999-07-01' AND DATE '2002-03-01' AND total_emails >= 20",
+    "share_gate": f"WITH {_JUDGED} SELECT round(count(reason) / count(*), 6) AS share, count(reason) / count(*) <= 0.05 AS passes FROM judged",
     "run_metrics": f"WITH {_SILVER} SELECT 'bronze_rows' AS metric, count(*) AS value FROM judged UNION ALL SELECT 'quarantined_rows', count(reason) FROM judged UNION ALL SELECT 'passed_rows', count(*) FROM silver UNION ALL SELECT 'after_message_id_dedup', count(*) FROM by_id UNION ALL SELECT 'after_content_dedup', count(*) FROM by_content UNION ALL SELECT 'recipient_rows', sum(len(list_distinct(list_concat(j.to_addresses, j.cc_addresses))))::BIGINT FROM by_content b JOIN (SELECT DISTINCT ON (file) file, to_addresses, cc_addresses FROM judged) j USING (file)",
 }

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
+SHARED_KEY = "maillake.shared.dir"
+SPREAD_KEY = "maillake.input.partitions"
 
 
 def get_session(cores: str = "*", shuffle_partitions: int = 8) -> SparkSession:
@@ -27,20 +30,28 @@ def get_session(cores: str = "*", shuffle_partitions: int = 8) -> SparkSession:
 def shared_dir(spark: SparkSession) -> str:
     """Folder that all executors share.
 
-    The cluster names it in ``spark.checkpoint.dir``; only where that is unset
-    (tests, one machine) a temporary folder is made and remembered in the
-    session.
+    The cluster names it in ``spark.checkpoint.dir``. Where that is unset, a
+    local session (tests, one machine) gets a temporary folder, remembered in
+    the session; any other raises, as executors would each write to a disk of their own.
     """
-    named = spark.conf.get(CHECKPOINT_KEY, None) or spark.conf.get("maillake.shared.dir", None)
+    named = spark.conf.get(CHECKPOINT_KEY, None) or spark.conf.get(SHARED_KEY, None)
     if not named:
+        master = spark.sparkContext.master
+        if not re.fullmatch(r"local(\[[^\]]*\])?", master):
+            raise ValueError(f"{CHECKPOINT_KEY} must name a folder that the executors of {master} share")
         named = tempfile.mkdtemp(prefix="maillake-")
-        spark.conf.set("maillake.shared.dir", named)
+        spark.conf.set(SHARED_KEY, named)
     return named.rstrip("/")
 
 
+def scratch_root(spark: SparkSession) -> str:
+    """Folder of this application's intermediate tables; other applications have their own."""
+    return f"{shared_dir(spark)}/maillake/{spark.sparkContext.applicationId}"
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new path for a table that cuts lineage."""
-    return f"{shared_dir(spark)}/maillake/{name}-{uuid.uuid4().hex}"
+    return f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def materialise(spark: SparkSession, df, name: str):
@@ -52,14 +63,14 @@ def materialise(spark: SparkSession, df, name: str):
 
 
 def clear_scratch(spark: SparkSession) -> None:
-    """Delete all intermediate tables of the shared folder; no result that is still lazy may be used after it."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/maillake")
+    """Delete this application's intermediate tables; no result of it that is still lazy may be used after it."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(scratch_root(spark))
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def spread(df):
-    """``df``, a plain scan, over all cores if its files have fewer splits than
-    there are cores: heavy work per row on a few small files. Larger inputs are
-    returned as they are; nothing of them is shuffled."""
-    wanted = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(wanted) if df._jdf.queryExecution().toRdd().getNumPartitions() < wanted else df
+    """``df``, a plain scan, in as many partitions as ``maillake.input.partitions``
+    says: for a small input of few splits with heavy work per row. Unset, as by
+    default, the scan's own splits stay and nothing is shuffled, at any size."""
+    wanted = df.sparkSession.conf.get(SPREAD_KEY, None)
+    return df.repartition(int(wanted)) if wanted else df

@@ -3,9 +3,6 @@
 from __future__ import annotations
 
 import csv
-import random
-import sys
-from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,24 +35,16 @@ def null_audit(df: DataFrame) -> DataFrame:
     return counts.unpivot([], df.columns, "column_name", "nulls")
 
 
-def reservoir_sample(rows: Iterable, size: int, seed: int = 42) -> list:
-    """A uniform sample of a stream in one pass (Algorithm R)."""
-    rng, kept = random.Random(seed), []
-    for k, row in enumerate(rows):
-        if k < size:
-            kept.append(row)
-        elif (j := rng.randint(0, k)) < size:
-            kept[j] = row
-    return kept
-
-
-def sample_csv(source: str, target: str, size: int = 2000, seed: int = 42) -> int:
-    """Sample a CSV file whose fields may be very long; all fields are quoted."""
-    csv.field_size_limit(sys.maxsize)
-    with open(source, newline="", encoding="utf-8") as i, open(target, "w", newline="", encoding="utf-8") as o:
-        reader = csv.reader(i)
-        writer = csv.writer(o, quoting=csv.QUOTE_ALL)
-        writer.writerow(next(reader))
-        kept = reservoir_sample(reader, size, seed)
-        writer.writerows(kept)
+def sample_rows(df: DataFrame, size: int, seed: int = 42) -> DataFrame:
+    """``size`` rows, each as likely as any other and always the same for a seed:
+    those whose keyed hash is least. Tasks keep their own least rows, so nothing
+    else is shuffled; equal rows are told apart by chance only in the input's order."""
+    place = F.xxhash64(F.lit(seed), *(F.col(c).cast("string") for c in df.columns))
+    return df.orderBy(place).limit(size)
+
+
+def sample_csv(spark: SparkSession, source: str, target: str, size: int = 2000, seed: int = 42) -> int:
+    """Sample a CSV file whose fields may be very long into one CSV file, all fields quoted; how many rows it has."""
+    kept = sample_rows(spark.read.csv(source, header=True, multiLine=True, escape='"', maxCharsPerColumn=-1), size, seed).toPandas()
+    kept.to_csv(target, index=False, quoting=csv.QUOTE_ALL)
     return len(kept)

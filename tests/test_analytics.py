@@ -81,7 +81,7 @@ def test_buckets(spark):
 
 def test_rule_quality_and_latest_run(spark):
     df = spark.createDataFrame([(1, True), (1, False), (0, True), (0, False)], "y int, p boolean")
-    assert tuple(analytics.keyword_rule_quality(df, "y", F.col("p")).first()) == (0.5, 0.5, 0.5)
+    assert tuple(analytics.keyword_rule_quality(df, "y", F.col("p")).first())[3:] == (0.5, 0.5, 0.5)
     assert analytics.latest_run(spark.createDataFrame([("a", 1), ("b", 2), ("c", 2)], "m string, run_at int")).count() == 2
 
 
@@ -112,10 +112,11 @@ def test_later_mail_changes_nothing(spark):
     assert all(new[k] == old[k] for k in old)
 
 
-def test_leaks_are_refused():
-    features.forbid_leakage(features.FEATURES)
+def test_leaks_are_refused(spark):
+    df = spark.createDataFrame([(1, 2.0)], "body_length int, response_minutes double")
+    assert features.point_in_time(df, ["body_length"]) is df
     with pytest.raises(ValueError, match="response_minutes"):
-        features.forbid_leakage(["body_length", "response_minutes"])
+        features.point_in_time(df, ["body_length", "response_minutes"])
 
 
 def model_rows(spark, n=240):
@@ -160,7 +161,7 @@ def test_registry_documents_what_is_built(spark):
     for name, frame in built.items():
         assert frame.columns == list(catalog.TABLES[name].columns), name
     assert set(catalog.TABLES["silver.dq_quarantine"].personal) <= set(mail.PARSED)
-    assert sum(len(d.columns) for d in catalog.TABLES.values()) == 96
+    assert sum(len(d.columns) for d in catalog.TABLES.values()) == 109
     assert catalog.literal("it's \\") == "'it\\'s \\\\'"
     assert "| to_addresses |" in catalog.render_dictionary()
 
@@ -186,3 +187,22 @@ def test_priority_model_trains_with_the_full_settings(spark, monkeypatch):
     monkeypatch.setattr(plans.priority, "train", lambda df, s=priority.Settings(): (None, used.append(s)))
     plans.priority_model(spark, "")
     assert used == [priority.Settings()] and used[0].text_features == 1 << 16 and used[0].max_iter == 100
+
+
+def test_null_bodies_and_lists_count_as_empty(spark):
+    rows = [("a", None, None, None, None, None, None, None, None, None, None, None), ("b", "x@y.z", datetime(2001, 5, 1), None, ["x@y.z"], None, "Hi", "hi", False, False, "Two words?", None)]
+    schema = "message_id string, sender string, sent_at timestamp, sent_at_houston timestamp_ntz, to_addresses array<string>, cc_addresses array<string>, subject string, subject_normalised string, is_reply boolean, is_forward boolean, body_clean string, body_full string"
+    got = {r["message_id"]: r for r in features.content_features(spark.createDataFrame(rows, schema)).collect()}
+    assert (got["a"]["body_length"], got["a"]["word_count"], got["a"]["to_count"], got["a"]["recipient_count"], got["a"]["has_question"]) == (0, 0, 0, 0, 0)
+    assert (got["b"]["body_length"], got["b"]["word_count"], got["b"]["to_count"]) == (10, 2, 1)
+
+
+def test_values_at_ranks(spark, monkeypatch):
+    from maillake.operators import ranks
+
+    monkeypatch.setattr(ranks, "FEW", 10)
+    df = spark.range(20_000).select(F.when(F.col("id") % 3 == 0, F.lit(7.0)).when(F.col("id") % 50 == 1, F.lit(float("nan"))).otherwise(F.pmod(F.xxhash64("id"), F.lit(100_000)).cast("double")).alias("v"))
+    kept = sorted(r["v"] for r in df.collect() if r["v"] == r["v"])
+    n, got = ranks.values_at(df, F.col("v"), lambda n: [0, n // 4, n // 2, n - 1])
+    assert n == len(kept) and got == [kept[k] for k in (0, n // 4, n // 2, n - 1)]
+    assert ranks.median(df.where("v = 7"), F.col("v")) == (6667, 7.0) and ranks.median(df.limit(0), F.col("v")) == (0, None)

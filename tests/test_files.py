@@ -21,13 +21,12 @@ def test_csv_with_quotes_and_line_ends(spark, tmp_path):
         files.require_rows(df, 3)
 
 
-def test_sampler(tmp_path):
-    assert files.reservoir_sample(range(5), 10) == [0, 1, 2, 3, 4]
-    kept = files.reservoir_sample(range(1000), 50)
-    assert len(set(kept)) == 50 and kept == files.reservoir_sample(range(1000), 50)
+def test_sampler(spark, tmp_path):
+    of = lambda n, k, seed=42: sorted(r[0] for r in files.sample_rows(spark.range(n), k, seed).collect())
+    assert of(5, 10) == [0, 1, 2, 3, 4] and len(set(of(1000, 50))) == 50 and of(1000, 50) == of(1000, 50) != of(1000, 50, 7)
     src = tmp_path / "a.csv"
     src.write_text("file,message\n" + "".join(f'{k},"x\ny{"z" * 200_000}"\n' for k in range(5)))
-    assert files.sample_csv(str(src), str(tmp_path / "b.csv"), 3) == 3
+    assert files.sample_csv(spark, str(src), str(tmp_path / "b.csv"), 3) == 3
 
 
 def test_append_and_stream(spark, tmp_path):

@@ -1,8 +1,11 @@
 import csv
 import json
+from pathlib import Path
 
-from maillake import cli
-from maillake.operators import priority, reports
+import pytest
+
+from maillake import cli, session
+from maillake.operators import catalog, priority, reports
 from maillake.session import clear_scratch, scratch_path
 
 
@@ -15,7 +18,9 @@ def test_whole_run(spark, tmp_path):
             a, b = ("ann", "bob") if k % 2 == 0 else ("bob", "ann")
             subject = f"Deal {k // 2}" if k % 2 == 0 else f"RE: Deal {k // 2}"
             w.writerow([f"{a}/sent/{k}.", f"Message-ID: <{k}@x>\nDate: Mon, {1 + k // 4:02d} May 2001 {8 + k % 12:02d}:00:00 -0700 (PDT)\nFrom: {a}@northmere.example\nTo: {b}@northmere.example\nSubject: {subject}\nX-FileName: x.pst\n\nPlease reply, number {k}?\n> old"])
-    report = cli.run(spark, str(path), str(tmp_path), settings=priority.Settings(text_features=32, min_doc_freq=1, max_iter=5))
+    labels = tmp_path / "labels.csv"
+    labels.write_text('file,is_meeting,message\na/1.,true,"Subject: x\n\nhello"\n')
+    report = cli.run(spark, str(path), str(tmp_path), settings=priority.Settings(text_features=32, min_doc_freq=1, max_iter=5), labelled=str(labels))
     assert report["counts"]["after_content_dedup"] == 60 and report["counts"]["quarantined_rows"] == 0
     assert report["reply_speed"][0]["matched_replies"] > 0 and report["totals"][0]["total_emails"] == 60
     assert json.loads((tmp_path / "findings.json").read_text())["top_senders"][0]["sent_count"] == 30
@@ -24,22 +29,38 @@ def test_whole_run(spark, tmp_path):
     assert reports.profile(spark.table("gold.message_features"), ["body_length"]).count() == 3
     assert reports.peek(spark.table("silver.emails"), 5).count() == 5 and reports.label_distribution(spark.table("gold.message_features"), "label_replied_2h").count() >= 1
     assert reports.chart_weeks(spark.table("gold.weekly_volume")).count() > 0 and reports.chart_months(spark.table("gold.email_categories"), 1).count() == 1
-    reports.draw("volume", [r.asDict() for r in spark.table("gold.weekly_volume").collect()], str(tmp_path / "v.png"))
+    shown = reports.charts(*(spark.table(f"gold.{t}") for t in ("weekly_volume", "email_categories", "person_activity", "reply_pairs")), exclude=("bob@northmere.example",), floor=1)
+    assert len(shown) == 5 and shown["top_senders.png"].x == ["ann"] and sum(shown["response_times.png"].series["replies"]) > 0
+    assert shown["meeting_share.png"].average == shown["meeting_share.png"].series["meeting_share"][0]
+    assert reports.export_frames({"w": spark.table("gold.weekly_volume")})["w"]["total_emails"].sum() == 60
+    audit = catalog.audit_personal(spark)
+    assert audit.count() == 19 and audit.where("NOT applied").count() == 0
+    assert report["meeting_rule"]["fn"] == 1
+    assert "model" in report["counts"] or spark.table("gold.model_weights").count() == 22
+    assert (tmp_path / "files" / "gold").is_dir()
     for schema in ("bronze", "silver", "gold"):
         spark.sql(f"DROP SCHEMA {schema} CASCADE")
 
 
-def test_scratch_is_cleared(spark):
-    path = scratch_path(spark, "x")
-    spark.range(3).write.parquet(path)
+def test_scratch_of_this_application_is_cleared(spark):
+    path = Path(scratch_path(spark, "x"))
+    other = path.parents[1] / "another-application" / "y"
+    for p in (path, other):
+        spark.range(3).write.parquet(str(p))
     clear_scratch(spark)
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    assert not where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+    assert not path.exists() and other.exists()
 
 
-def test_dictionary_is_current():
-    from pathlib import Path
+def test_a_cluster_needs_a_shared_folder(spark):
+    class Cluster:
+        conf = type("Conf", (), {"get": staticmethod(lambda key, default=None: default)})
+        sparkContext = type("Context", (), {"master": "spark://host:7077"})
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        session.shared_dir(Cluster())
 
+
+def test_dictionary_is_current():
     from maillake.operators import catalog
 
     assert (Path(__file__).resolve().parents[1] / "docs" / "data_dictionary.md").read_text() == catalog.render_dictionary()
