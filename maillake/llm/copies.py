@@ -1,9 +1,14 @@
 """Records that are the same but for formatting: one record each and its number of copies.
 
-Every record gets a canonical hash. Partitions build Bloom filters of hashes
-seen once and seen repeatedly; merged, the second one holds every hash that
-occurs twice anywhere (it may hold others, never lacks one). Only records that
-it holds are shuffled for exact grouping; all others are single.
+Every record gets a canonical hash. Hashes go to shards, one task each, by which
+every equal pair meets in one shard; a shard keeps two Bloom filters of its own
+range, of hashes seen once and seen repeatedly, whose size doesn't depend on
+the corpus. The second one holds every hash that occurs twice (it may hold
+others, never lacks one). Records that it doesn't hold are single and done; only
+possible repeats are shuffled for exact grouping. Nothing is broadcast and
+nothing goes through the driver. A record that a batch holds twice is a known
+repeat: its hash is sent to the shards once and its rows aren't, so a record
+that a third of all rows have is no task of its own.
 """
 
 from __future__ import annotations
@@ -14,17 +19,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StructField, StructType
 
 from maillake.operators.lookup import lookup
 from maillake.session import materialise
 
-#: Bits of the filter for each record, and places that a record sets.
-BITS_PER_RECORD, PLACES = 16, 3
-#: Largest filter that is broadcast (256 MiB of bits = 32 MiB); a corpus too large for it is grouped exactly as a whole.
-MAX_FILTER_BITS = 1 << 28
-SEGMENT_BITS = 1 << 19
-#: Filters that one task merges at once.
-FAN_IN = 32
+#: Records that a shard has on average, bits of its filters for each, and places that a record sets.
+SHARD_RECORDS, BITS_PER_RECORD, PLACES = 1 << 20, 16, 3
 
 
 def plain(c: Column) -> Column:
@@ -39,7 +40,8 @@ def canonical_mail(df: DataFrame) -> Column:
     fields are kept apart by a character that none of them holds.
     """
     unordered = lambda c: F.array_join(F.array_sort(F.filter(F.transform(F.coalesce(c, F.array().cast("array<string>")), plain), lambda x: x != "")), "\x1f")
-    return F.sha2(F.concat_ws("\x1e", plain(F.col("sender")), plain(F.col("subject")), unordered(F.col("to_addresses")), unordered(F.col("cc_addresses")), plain(F.col("body_clean"))), 256)
+    text = F.concat_ws("\x1e", plain(F.col("sender")), plain(F.col("subject")), unordered(F.col("to_addresses")), unordered(F.col("cc_addresses")), plain(F.col("body_clean")))
+    return F.unhex(F.substring(F.sha2(text, 256), 1, 32))
 
 
 def places(hashes: np.ndarray, bits: int) -> np.ndarray:
@@ -58,101 +60,63 @@ def _get(filter_: np.ndarray, at: np.ndarray) -> np.ndarray:
     return (filter_[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & np.uint8(1) > 0
 
 
-def _segments(once: np.ndarray, again: np.ndarray):
-    """Non-empty segments of two filters with their numbers."""
-    size = SEGMENT_BITS // 8
-    for k in range(0, len(once), size):
-        if once[k : k + size].any():
-            yield k // size, once[k : k + size].tobytes(), again[k : k + size].tobytes()
+def _find_repeats_in_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows plus ``twice``: the batch holds another one with this hash."""
+    for b in batches:
+        values, inverse, counts = np.unique(b.column("h").to_numpy(), return_inverse=True, return_counts=True)
+        yield pa.RecordBatch.from_arrays([*b.columns, pa.array(counts[inverse] > 1, pa.bool_())], [*b.schema.names, "twice"])
 
 
-def _partition_filter(bits: int):
-    """Filters of one partition: a record whose places are all set already may
-    be a repeat, so its places go into the second filter."""
+def _judge_shard(bits: int):
+    """Of a shard's rows ``maybe``: whether the filter of repeated hashes holds
+    theirs. The shard is read once into the filters, then judged."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         once, again = np.zeros(bits // 8, np.uint8), np.zeros(bits // 8, np.uint8)
+        held = []
         for b in batches:
-            h = b.column(0).to_numpy()
+            h, known = b.column("h").to_numpy(), b.column("known").to_numpy(zero_copy_only=False)
             at = places(h, bits)
-            # Within the batch equal hashes are found exactly, against what came before by the filter.
-            values, counts = np.unique(h, return_counts=True)
-            _set(again, at[:, np.isin(h, values[counts > 1]) | _get(once, at).all(axis=0)])
+            # Equal hashes of a batch are found exactly, against what came before by the filter.
+            _, inverse, counts = np.unique(h, return_inverse=True, return_counts=True)
+            _set(again, at[:, known | (counts[inverse] > 1) | _get(once, at).all(axis=0)])
             _set(once, at)
-        for segment in _segments(once, again):
-            yield pa.RecordBatch.from_arrays([pa.array([segment[0]], pa.int32()), *(pa.array([x], pa.binary()) for x in segment[1:])], ["segment", "once", "again"])
+            held.append(b.filter(pa.array(~known)))
+        for b in held:
+            maybe = _get(again, places(b.column("h").to_numpy(), bits)).all(axis=0)
+            yield pa.RecordBatch.from_arrays([b.column("key"), b.column("canon"), pa.array(maybe, pa.bool_())], ["key", "canon", "maybe"])
 
     return run
 
 
-def _merge(rows) -> "object":
-    import pandas as pd
+def mark_repeats(rows: DataFrame, shards: int, bits: int = SHARD_RECORDS * BITS_PER_RECORD) -> DataFrame:
+    """key, canon, maybe of ``rows`` (key, canon, h, twice): whether a row's hash may occur again."""
+    of_key, of_canon = (f.simpleString() for f in (rows.schema["key"].dataType, rows.schema["canon"].dataType))
+    alone = rows.where("NOT twice").select("key", "canon", "h", F.lit(False).alias("known"))
+    # One row for each hash of known repeats, whatever the number of its rows: an aggregate with partial results.
+    known = rows.where("twice").select("h").distinct().select(F.lit(None).cast(of_key).alias("key"), F.lit(None).cast(of_canon).alias("canon"), "h", F.lit(True).alias("known"))
+    judged = alone.unionByName(known).repartition(shards, "h").mapInArrow(_judge_shard(bits), f"key {of_key}, canon {of_canon}, maybe boolean")
+    return judged.unionByName(rows.where("twice").select("key", "canon", F.lit(True).alias("maybe")))
 
-    once = again = None
-    for o, a in zip(rows["once"], rows["again"]):
-        o, a = np.frombuffer(o, np.uint8), np.frombuffer(a, np.uint8)
-        once, again = (o, a) if once is None else (once | o, again | a | (once & o))
-    return pd.DataFrame({"segment": [int(rows["segment"].iloc[0])], "once": [once.tobytes()], "again": [again.tobytes()]})
 
-
-def repeat_filter(hashes: DataFrame, bits: int) -> np.ndarray:
-    """Merged filter of repeatedly seen hashes (bytes); ``hashes`` has one bigint column.
-
-    Partition filters are cut into segments and merged in a tree, FAN_IN at a
-    time, so no task gets the filters of all partitions.
-    """
-    parts = hashes.mapInArrow(_partition_filter(bits), "segment int, once binary, again binary").withColumn("part", F.spark_partition_id())
-    parts = materialise(hashes.sparkSession, parts, "filters")
-    n = (parts.agg(F.max("part")).first()[0] or 0) + 1
-    while n > FAN_IN:
-        n = -(-n // FAN_IN)
-        merged = parts.withColumn("part", (F.col("part") / FAN_IN).cast("int"))
-        parts = merged.groupBy("segment", "part").applyInPandas(lambda k, rows: _merge(rows).assign(part=int(k[1])), "segment int, once binary, again binary, part int")
-    merged = parts.groupBy("segment").applyInPandas(lambda rows: _merge(rows)[["segment", "again"]], "segment int, again binary")
-    out = np.zeros(bits // 8, np.uint8)
-    for r in merged.toLocalIterator():  # at most MAX_FILTER_BITS in all, one segment at a time
-        a = np.frombuffer(r["again"], np.uint8)
-        out[r["segment"] * (SEGMENT_BITS // 8) : r["segment"] * (SEGMENT_BITS // 8) + len(a)] = a
-    return out
-
-
-def filter_bits(records: int, most: int = MAX_FILTER_BITS) -> int:
-    """Size of the filter; 0 if under two bits a record would be left, when it tells nothing."""
-    if records * 2 > most:
-        return 0
-    bits = SEGMENT_BITS
-    while bits < min(records * BITS_PER_RECORD, most):
-        bits *= 2
-    return bits
-
-
-def group_copies(df: DataFrame, key: str, canon: Column, max_filter_bits: int = MAX_FILTER_BITS) -> DataFrame:
+def group_copies(df: DataFrame, key: str, canon: Column, shard_records: int = SHARD_RECORDS) -> DataFrame:
     """``key``, ``first_id`` (smallest key of the record's copies, byte order) and ``copies``.
 
     One row per row of ``df``; a key that comes twice is a copy of itself and
     counts. Null keys are kept and never the smallest unless all are null.
-    The result is exact: the filters only choose which rows are shuffled.
+    Null ``canon`` is a value like any other. The result is exact: the filters
+    only choose which rows are shuffled for grouping.
     """
     spark = df.sparkSession
-    rows = df.select(F.col(key).alias("key"), canon.alias("canon")).withColumn("h", F.xxhash64("canon"))
-    rows = materialise(spark, rows, "canonical")
-    bits = filter_bits(rows.count(), max_filter_bits)
-    if bits:
-        shared = spark.sparkContext.broadcast(repeat_filter(rows.select("h"), bits).tobytes())
-
-        @F.pandas_udf("boolean")
-        def may_repeat(h):
-            import pandas as pd
-
-            return pd.Series(_get(np.frombuffer(shared.value, np.uint8), places(h.to_numpy(), bits)).all(axis=0))
-
-        rows = materialise(spark, rows.withColumn("maybe", may_repeat("h")), "candidates")
-        single = rows.where("NOT maybe").select("key", F.col("key").alias("first_id"), F.lit(1).cast("bigint").alias("copies"))
-        candidates = rows.where("maybe")
-    else:
-        single, candidates = None, rows
+    # In a struct, so null is a value too.
+    rows = df.select(F.col(key).alias("key"), F.struct(canon.alias("value")).alias("canon")).withColumn("h", F.xxhash64("canon"))
+    rows = materialise(spark, rows.mapInArrow(_find_repeats_in_batch, StructType([*rows.schema.fields, StructField("twice", BooleanType())])), "canonical")
+    # As many shards as the records need at so many each, and no fewer than other shuffles have.
+    shards = max(-(-rows.count() // shard_records), int(spark.conf.get("spark.sql.shuffle.partitions")))
+    marked = materialise(spark, mark_repeats(rows, shards), "marked")
+    single = marked.where("NOT maybe").select("key", F.col("key").alias("first_id"), F.lit(1).cast("bigint").alias("copies"))
+    candidates = marked.where("maybe")
     # A group may hold a third of all rows: it is only aggregated, by partial sums, and looked up again.
     groups = candidates.groupBy("canon").agg(F.min("key").alias("first_id"), F.count("*").alias("copies"), F.count("*").alias("n"))
     repeated = lookup(candidates, groups, ["canon"]).select("key", "first_id", "copies")
-    out = repeated if single is None else single.unionByName(repeated)
-    return out.select(F.col("key").alias(key), "first_id", "copies")
+    return single.unionByName(repeated).select(F.col("key").alias(key), "first_id", "copies")
