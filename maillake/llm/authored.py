@@ -2,10 +2,12 @@
 
 Structure (``mailtext``) decides the lines that carry marks. What it leaves
 open goes through dictionaries from other mails: pieces of what other senders
-wrote earlier in the thread, found by fingerprints of their words, and the
-closings that a sender repeats in several threads. Open text that compresses
-abnormally well with its dictionary is checked for exact overlaps, word by
-word and as long as they go; lines that they cover aren't new.
+wrote earlier in the thread, found by fingerprints of their words, the
+closings that a sender repeats in several threads, and the footers that many
+senders share. Open text that compresses abnormally well with its dictionary is
+checked for exact overlaps, word by word and as long as they go; lines that
+they cover aren't new. Only hashes are shuffled to find candidates; texts are
+fetched for mails that have one.
 """
 
 from __future__ import annotations
@@ -13,6 +15,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -43,6 +46,11 @@ PIECE_WORDS = 200
 ZLIB_WINDOW = 32_000
 #: Threads in which a sender must repeat a line behind the closing words.
 LEAST_THREADS = 3
+#: Senders that must share a line for it to be a footer, the share of its mails in which it
+#: stands in the last open paragraph, below other lines, and that in which there may be no other paragraph.
+LEAST_SENDERS, LEAST_LAST, MOST_ALONE = 10, 0.98, 0.5
+#: Mails or threads (16 bytes each) whose keys are sent to the executors; more are joined through the shuffle.
+MOST_BROADCAST = 1_000_000
 
 _REPLY_PREFIX = re.compile(r"^(?:\s*(?:re|fw|fwd|aw|wg|tr)\s*(?:\[\d+\])?\s*:)+", re.IGNORECASE)
 _FOLD = re.compile(r"\r?\n[ \t]+")
@@ -51,7 +59,7 @@ _KEY = re.compile(r"[\W_]+")
 _WORDS = re.compile(r"[^\W_]+")
 _MAIL_SCHEMA = (
     "tbl string, row_key string, digest bigint, marked array<bigint>, prints array<bigint>, thread string, sender string, at bigint, "
-    "open array<struct<line_key:bigint,text:string,first:bigint,last:bigint,paragraph:bigint,closing:boolean>>"
+    "open array<struct<line_key:bigint,text:string,first:bigint,last:bigint,paragraph:bigint,closing:boolean,footer_key:bigint,last_part:boolean,alone:boolean>>"
 )
 
 
@@ -68,8 +76,10 @@ def thread_of(subject: str | None) -> str | None:
 
 
 def _open_lines(lines: list[str], spans: list[tuple[int, int]], flags: list[str]) -> list[tuple]:
-    """Lines that structure leaves open. Those behind closing words that may be
-    a repeated closing have a ``line_key``."""
+    """Lines that structure leaves open. Those behind closing words that may be a
+    repeated closing have a ``line_key``, those that may be a shared footer a
+    ``footer_key``; ``last_part``: it ends the mail below other lines, ``alone``: there
+    is no other paragraph."""
     out, paragraph, closing = [], 0, False
     for line, (first, last), flag in zip(lines, spans, flags):
         if not line.strip():
@@ -85,7 +95,15 @@ def _open_lines(lines: list[str], spans: list[tuple[int, int]], flags: list[str]
             if len(signs) >= LEAST_SIGNS or len(line.split()) > 2:
                 key = xxhash.xxh64_intdigest(signs) - (1 << 63)
         out.append((key, line, first, last, paragraph, closing))
-    return out
+    if not out:
+        return out
+    alone = out[0][4] == out[-1][4]
+    return [(*o, _footer_key(o[1]), k > 0 and o[4] == out[-1][4], alone) for k, o in enumerate(out)]
+
+
+def _footer_key(line: str) -> int | None:
+    signs = _KEY.sub("", line).lower()
+    return xxhash.xxh64_intdigest(signs) - (1 << 63) if len(signs) >= LEAST_SIGNS else None
 
 
 def _words(lines: list[str]) -> tuple[list[str], list[int]]:
@@ -159,13 +177,13 @@ def mark_structure(mails: DataFrame, names: NameModel) -> DataFrame:
                     {
                         "tbl": tbl, "row_key": key, "digest": xxhash.xxh64_intdigest(text) - (1 << 63), "marked": marked,
                         "prints": prints, "thread": thread, "sender": bare(sender or ""), "at": at,
-                        "open": [dict(zip(("line_key", "text", "first", "last", "paragraph", "closing"), x)) for x in opened],
+                        "open": [dict(zip(("line_key", "text", "first", "last", "paragraph", "closing", "footer_key", "last_part", "alone"), x)) for x in opened],
                     }
                 )
             schema = schema or pa.schema(
                 [
                     ("tbl", pa.string()), ("row_key", pa.string()), ("digest", pa.int64()), ("marked", pa.list_(pa.int64())), ("prints", pa.list_(pa.int64())), ("thread", pa.string()), ("sender", pa.string()), ("at", pa.int64()),
-                    ("open", pa.list_(pa.struct([("line_key", pa.int64()), ("text", pa.string()), ("first", pa.int64()), ("last", pa.int64()), ("paragraph", pa.int64()), ("closing", pa.bool_())]))),
+                    ("open", pa.list_(pa.struct([("line_key", pa.int64()), ("text", pa.string()), ("first", pa.int64()), ("last", pa.int64()), ("paragraph", pa.int64()), ("closing", pa.bool_()), ("footer_key", pa.int64()), ("last_part", pa.bool_()), ("alone", pa.bool_())]))),
                 ]
             )
             yield pa.RecordBatch.from_pylist(rows, schema)
@@ -281,11 +299,14 @@ def _history(marks: DataFrame) -> DataFrame:
     mails = marks.where("size(prints) > 0").select("mail", F.xxhash64("tbl", "thread").alias("thread_key"), F.xxhash64("sender").alias("writer"), "at", "prints")
     # Only threads, and then fingerprints, that several senders have can hold history.
     threads = mails.groupBy("thread_key").agg(F.count("*").alias("n"), F.min("writer").alias("a"), F.max("writer").alias("z"))
-    threads = threads.where("a <> z").select("thread_key", "n", F.lit(True).alias("several"))
-    each = lookup(mails, threads, ["thread_key"]).where("several").select("mail", "thread_key", "writer", "at", F.explode("prints").alias("print"))
-    first = each.groupBy("thread_key", "print").agg(F.min(F.struct("at", "writer", "mail")).alias("o"), F.count("*").alias("n"), F.min("writer").alias("a"), F.max("writer").alias("z"))
-    first = first.where("a <> z").select("thread_key", "print", F.col("o.at").alias("origin_at"), F.col("o.writer").alias("origin"), F.col("o.mail").alias("source"), "n")
-    hits = lookup(each, materialise(spark, first, "origins"), ["thread_key", "print"]).where("origin_at < at").select("mail", "print", "source", F.expr("origin = writer").alias("mine")).distinct()
+    threads = materialise(spark, threads.where("a <> z").select("thread_key"), "threads")
+    each = _only(mails, threads, "thread_key").select("mail", "thread_key", "writer", "at", F.explode("prints").alias("print"))
+    each = each.select("mail", "writer", "at", "print", F.xxhash64("thread_key", "print").alias("place"))
+    first = each.groupBy("place").agg(F.min(F.struct("at", "writer", "mail")).alias("o"), F.count("*").alias("n"), F.min("writer").alias("a"), F.max("writer").alias("z"))
+    first = first.where("a <> z").select("place", F.col("o.at").alias("origin_at"), F.col("o.writer").alias("origin"), F.col("o.mail").alias("source"), "n")
+    origins = materialise(spark, first, "origins")
+    shared = materialise(spark, origins.select("place"), "shared")
+    hits = lookup(_only(each, shared, "place"), origins, ["place"]).where("origin_at < at").select("mail", "print", "source", F.expr("origin = writer").alias("mine")).distinct()
     hits = materialise(spark, hits, "hits")
 
     line = "array<struct<first:bigint,last:bigint>>"
@@ -303,7 +324,10 @@ def _history(marks: DataFrame) -> DataFrame:
         return pd.Series([_overlapping(list(os), {c["print"]: (c["offset"], c["words"], c["mine"]) for c in cs}) for os, cs in zip(opened, known)], dtype=object)
 
     wanted = hits.groupBy("source", "print").agg(F.count("*").alias("n")).groupBy("source").agg(F.collect_list(F.struct("print", "n")).alias("wanted"))
-    texts = marks.select("tbl", "row_key", "digest", "mail", F.transform("open", lambda o: F.struct(o["text"].alias("text"), o["first"].alias("first"), o["last"].alias("last"), o["paragraph"].alias("paragraph"))).alias("open"))
+    needed = materialise(spark, hits.select("mail").union(hits.select("source")).distinct(), "needed")
+    texts = _only(marks, needed, "mail").select("tbl", "row_key", "digest", "mail", F.transform("open", lambda o: F.struct(o["text"].alias("text"), o["first"].alias("first"), o["last"].alias("last"), o["paragraph"].alias("paragraph"))).alias("open"))
+    # Written once: the mails that are looked at twice, as source and as what may hold history.
+    texts = materialise(spark, texts, "texts")
     pieces = texts.join(wanted, texts["mail"] == wanted["source"]).select("source", F.explode(chunks("open", "wanted")).alias("c")).select("source", "c.*")
     pieces = pieces.groupBy("source", "print").agg(F.max("n").alias("n"), F.min(F.struct("offset", "words")).alias("c"))
     known = lookup(hits, materialise(spark, pieces, "pieces"), ["source", "print"]).where("c IS NOT NULL")
@@ -319,9 +343,33 @@ def _repeated_closings(marks: DataFrame) -> DataFrame:
     return lookup(lines, repeated, ["tbl", "sender", "line_key"]).where("repeated").select("tbl", "row_key", "digest", "first", "last")
 
 
+def _shared_footers(marks: DataFrame) -> DataFrame:
+    """tbl, row_key, digest, first, last: lines at the end of mails that many
+    senders share word by word: footers and disclaimers, learned from the corpus."""
+    lines = marks.select("tbl", "row_key", "digest", F.xxhash64("sender").alias("writer"), F.explode("open").alias("o")).where("o.footer_key IS NOT NULL")
+    lines = lines.select("tbl", "row_key", "digest", "writer", F.col("o.footer_key").alias("footer_key"), F.col("o.last_part").cast("int").alias("last_part"), F.col("o.alone").cast("int").alias("alone"), F.col("o.first").alias("first"), F.col("o.last").alias("last"))
+    shared = lines.groupBy("footer_key").agg(F.approx_count_distinct("writer").alias("writers"), F.avg("last_part").alias("last_part"), F.avg("alone").alias("alone"), F.count("*").alias("n"))
+    shared = shared.where((F.col("writers") >= LEAST_SENDERS) & (F.col("last_part") >= LEAST_LAST) & (F.col("alone") <= MOST_ALONE)).select("footer_key", "n", F.lit(True).alias("shared"))
+    shared = materialise(marks.sparkSession, shared, "footers")
+    return lookup(_only(lines, shared.select("footer_key"), "footer_key").drop("last_part", "alone", "writer"), shared, ["footer_key"]).where("shared").select("tbl", "row_key", "digest", "first", "last")
+
+
+def _only(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """Rows whose ``key`` is among ``keys`` (one column, written before). Keys are
+    broadcast up to MOST_BROADCAST of them, whose size is thereby bounded;
+    beyond that both sides meet through the shuffle. The rows are the same."""
+    few = keys.count() <= MOST_BROADCAST
+    return rows.join(F.broadcast(keys) if few else keys, key, "left_semi")
+
+
+def sources(marks: DataFrame) -> dict[str, DataFrame]:
+    """By the kind of their dictionary, open lines that it proves not new: tbl, row_key, digest, first, last."""
+    return {"history": _history(marks), "closings": _repeated_closings(marks), "footers": _shared_footers(marks)}
+
+
 def known_elsewhere(marks: DataFrame) -> DataFrame:
     """tbl, row_key, digest, first, last: open lines that the dictionaries prove not new."""
-    return _history(marks).unionByName(_repeated_closings(marks))
+    return reduce(DataFrame.unionByName, sources(marks).values())
 
 
 def _lines_of_others(mails: DataFrame, names: NameModel) -> DataFrame:

@@ -21,9 +21,10 @@ _ESCAPE = re.compile(r"((?:=[0-9A-Fa-f]{2})+)")
 
 # Lines before quoted text, in the languages of the archive.
 _LEAD_IN = re.compile(
-    r"\s*(?:on\b.{4,160}\bwrote\s*:|le\b.{4,160}\ba\s+[ée]crit\s*:|am\b.{4,160}\bschrieb\b.{0,120}:|at\s+\d{1,2}:\d\d\s.{4,160}\bsaid\s*:|el\b.{4,160}\bescribi[óo]\s*:|.{1,120}<[^<>\s]+@[^<>\s]+>\s+(?:wrote|schrieb|a\s+[ée]crit|escribi[óo])\s*:)\s*$",
+    r"\s*(?:on\b.{4,}\bwrote\s*:|le\b.{4,}\ba\s+[ée]crit\s*:|am\b.{4,}\bschrieb\b.*:|op\b.{4,}\bschreef\b.*:|at\s+\d{1,2}:\d\d\s.{4,}\bsaid\s*:|el\b.{4,}\bescribi[óo]\s*:|.+<[^<>\s]+@[^<>\s]+>\s+(?:wrote|schrieb|schreef|a\s+[ée]crit|escribi[óo])\s*:)\s*$",
     re.IGNORECASE,
 )
+_LEAD_WORD = re.compile(r"\s*(?:on|le|am|op|at|el)\s", re.IGNORECASE)
 # Marker lines of earlier messages.
 _MARKER = re.compile(
     r"\s*(?:-{2,}\s*(?:original message|urspr[üu]ngliche nachricht|message d['’]origine|mensaje original|forwarded (?:message|by)\b.*)\s*-*.*|-{5,}\s*forwarded\b.*|begin forwarded message:?|-{3,}\s*forwarded message\s*-*)\s*$",
@@ -47,9 +48,11 @@ _DEVICE = re.compile(r"\s*(?:sent (?:from|by|via|with) (?:my|a|the|handheld|mobi
 DISCLAIMER_PHRASES = [
     "confidentiality notice", "privileged and confidential", "notice to reader", "vertraulich", "confidentiel", "confidencial",
     "solely for the", "meant only for the", "not an intended", "not the intended", "not the person this was sent", "intended reader", "intended recipient",
-    "no liability", "for viruses", "binding offer", "indicative and bind nobody", "contract arises", "opinions are personal", "views stated", "replying means you accept",
+    "exclusive use of the addressee", "exclusively for the addressee", "use of the addressee", "must not be disclosed", "may not be disclosed", "proprietary information",
+    "bestemd voor de geadresseerde", "received this message in error", "received this email in error", "received this e-mail in error",
+    "no liability", "for viruses", "indicative and bind nobody", "contract arises", "opinions are personal", "views stated", "replying means you accept",
     "copying or passing on", "destroy it and tell", "erase all copies", "delete every copy", "unauthorised review", "unauthorized review",
-    "consider the environment", "leave this list", "unsubscribe", "mail passing its", "mail passing this", "mail passing our", "mail passing the",
+    "consider the environment", "leave this list", "to unsubscribe", "unsubscribe here", "unsubscribe at", "unsubscribe:", "mail passing its", "mail passing this", "mail passing our", "mail passing the",
     "mail sent through its", "mail sent through this", "mail sent through our", "mail sent through the", "this transmission may",
     "weitergabe ist untersagt", "diffusion non autoris", "merci de le détruire", "merci de le detruire", "löschen sie sie", "loschen sie sie",
 ]
@@ -59,6 +62,7 @@ for _phrase in DISCLAIMER_PHRASES:
 _PHRASES.make_automaton()
 _CONTACT = re.compile(r"\d{3}[-./ )]?\s?\d{4}|@[\w-]+\.|\b(?:tel|ph|phone|fax|cell|mobile|office|e-?mail)\b\s*[.:]?|\+\d{2}", re.IGNORECASE)
 _SENTENCE_END = re.compile(r"[.!?]\s*$")
+#: Twice so many lines belong to a signature whatever they hold, more only if they hold contacts.
 _SIGN_LINES = 7
 _BLANKS = re.compile(r"[ \t\u00a0]+")
 _FIRST_WORD = re.compile(r"[^\W\d_]+")
@@ -132,7 +136,7 @@ class Structure:
             return False
         dated = to = 0
         j, seen = self._next_text(k + 1), 0
-        while j < len(self.lines) and seen < 6 and _HEAD.match(self.lines[j]):
+        while j < len(self.lines) and _HEAD.match(self.lines[j]):
             dated |= bool(_HEAD_DATED.match(self.lines[j]))
             to |= bool(_HEAD_TO.match(self.lines[j]))
             seen += 1
@@ -167,7 +171,7 @@ class Structure:
                 continue
             if _QUOTED.match(line):
                 self.flags[k] = "history"
-            elif len(line) < 200 and (_LEAD_IN.match(line) or (k + 1 < n and len(self.lines[k + 1]) < 120 and not _blank(self.lines[k + 1]) and re.match(r"\s*(?:on|le|am|at|el)\s", line, re.I) and _LEAD_IN.match(line + " " + self.lines[k + 1].lstrip()))):
+            elif (_LEAD_IN.match(line) or (k + 1 < n and not _blank(self.lines[k + 1]) and _LEAD_WORD.match(line) and _LEAD_IN.match(line + " " + self.lines[k + 1].lstrip()))):
                 size = 1 if _LEAD_IN.match(line) else 2
                 j = self._next_text(k + size)
                 if j < n and (_QUOTED.match(self.lines[j]) or size == 1):
@@ -263,7 +267,7 @@ class Structure:
                 a -= 1
             ruled = a >= 0 and not self.flags[a] and bool(_RULE.match(self.lines[a]))
             end = k + 1
-            while end < n and end - k < 2 * _SIGN_LINES and not self.flags[end]:
+            while end < n and not self.flags[end] and (end - k < 2 * _SIGN_LINES or _CONTACT.search(self.lines[end])):
                 if _blank(self.lines[end]):
                     if not self._signature_goes_on(end, ruled):
                         break

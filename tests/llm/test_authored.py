@@ -153,3 +153,33 @@ def test_own_texts_of_messages_and_history(spark):
     own = ("raw_emails", "f", "mine =\r\nmore\r\n")
     want = [own, own, ("raw_emails", "g", None), ("raw_emails", "h", None), ("emails", "1", PARENT), ("emails", "2", "OK, done.\n"), ("emails", "3", ""), ("emails", None, "mine")]
     assert sorted(got, key=str) == sorted(want, key=str)
+
+
+def test_footers_that_many_senders_share(spark):
+    # Worded like no phrase of the list: only that many senders end their mails with it tells.
+    footer = "Whoever prints this page waters one tree in the yard behind the house."
+    own = "The same long sentence stands in the middle of all of these mails."
+    rows = [("emails", f"m{k}", f"Note {k} on the weekly count.\n\n{own}\n\nSee you at {k}.\n\n{footer}", False, f"Matter {k}", f"p{k % 12}@x.example", None) for k in range(24)]
+    got = {tuple(r) for r in A.not_own_lines(mails(spark, rows), NAMES).collect()}
+    assert got == {("emails", f"m{k}", 7) for k in range(24)}
+    few = [(*r[:5], f"p{int(r[1][1:]) % 9}@x.example", r[6]) for r in rows]
+    assert A.not_own_lines(mails(spark, few), NAMES).count() == 0
+
+
+@pytest.mark.parametrize(
+    "tail, lines",
+    [
+        ("\nThis mail is for the exclusive use of the addressee.", [3]),
+        ("\nIt holds proprietary information and must not be disclosed to third parties.", [3]),
+        ("\nOp dinsdag 3 april 2001 schreef Onnis Sarvobury:\n> oud", [3, 4]),
+        ("\nOn Tue, 12 Dec 2000, " + "Haskimont, Ilvette and " * 20 + "others wrote:\n> old", [3, 4]),
+        ("\nFrom: x\nX-To: y\nCc: z\n\nBcc: a\nCc: b\nCc: c\nCc: d\nCc: e\nSent: f\nTo: g\nold", []),
+        ("\nFrom: x\n" + "Cc: b\n" * 9 + "Sent: f\nTo: g\nold", list(range(3, 16))),
+        ("\nPlease unsubscribe me from the list.", []),
+        ("\nWe make no binding offer today.", []),
+    ],
+)
+def test_ordinary_wording(tail, lines):
+    text = OWN + tail
+    got = [n for n in marked(text) if text.split("\n")[n - 1].strip()]
+    assert got == [n for n in lines if n <= text.count("\n") + 1]
