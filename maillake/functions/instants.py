@@ -61,7 +61,7 @@ _FORMS = [
         rf"\s*(?P<y>\d{{4}})(?P<m>\d{{2}})(?P<d>\d{{2}})t(?P<h>\d{{2}})(?P<mi>\d{{2}})(?P<s>\d{{2}})?(?:[.,](?P<f>\d{{1,9}}))?(?P<ap>(?!))?{_ZONE}",
     )
 ]
-#: No date has more signs, once white space and comments are gone.
+#: Longer texts are squeezed before they are read, as those with comments are.
 LONG = 200
 _SPACE = re.compile(r"\s+")
 _ZONE_COMMENT = re.compile(r"\([a-z]{1,5}\)", re.IGNORECASE)
@@ -126,8 +126,6 @@ def parse_instant(text: str | None, zone: str = DEFAULT_ZONE) -> tuple[int | Non
         return None, None
     if len(text) > LONG or "(" in text:
         text = squeezed(text)
-        if len(text) > LONG:
-            return None, None
     if m := _DIGITS.match(text):
         digits = m[1]
         if len(digits) == 14:

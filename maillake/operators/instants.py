@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from maillake.functions.instants import DEFAULT_ZONE, parse_instant
 from maillake.operators.lookup import lookup
-from maillake.session import scratch_path
+from maillake.session import materialise, scratch_path
 
 DICTIONARY_SCHEMA = "text string, source string, zone string, utc_micros bigint, written_year int, n bigint"
 
@@ -43,18 +43,22 @@ def _read_dictionary(spark: SparkSession, path: str) -> DataFrame | None:
 
 
 def extend_dictionary(keys: DataFrame, path: str) -> DataFrame:
-    """Parse the strings of ``keys`` (text, source, zone) that the dictionary in
-    ``path`` lacks, append them to it and return the whole dictionary."""
+    """Parse the strings of ``keys`` (text, source, zone; the last two not null)
+    that the dictionary in ``path`` lacks, append them to it, and return its
+    entries for these keys with ``n``: how many of these keys have it. Counts of
+    earlier runs don't matter: a string that was rare may be hot now."""
     spark = keys.sparkSession
-    seen = keys.where(F.col("text").isNotNull()).groupBy("text", "source", "zone").agg(F.count("*").alias("n"))
+    on = ["text", "source", "zone"]
+    seen = keys.where(F.col("text").isNotNull()).groupBy(*on).agg(F.count("*").alias("n"))
     known = _read_dictionary(spark, path)
-    new = seen
-    if known is not None:
-        k = known.select(F.col("text").alias("_t"), F.col("source").alias("_s"), F.col("zone").alias("_z"))
-        same = F.col("text").eqNullSafe(F.col("_t")) & F.col("source").eqNullSafe(F.col("_s")) & F.col("zone").eqNullSafe(F.col("_z"))
-        new = seen.join(k, same, "left_anti")
-    new.mapInArrow(_parse, DICTIONARY_SCHEMA).write.mode("append").parquet(path)
-    return spark.read.schema(DICTIONARY_SCHEMA).parquet(path)
+    if known is None:
+        seen.mapInArrow(_parse, DICTIONARY_SCHEMA).write.mode("append").parquet(path)
+        return spark.read.schema(DICTIONARY_SCHEMA).parquet(path)
+    seen = materialise(spark, seen, "seen")
+    seen.join(known.select(*on), on, "left_anti").mapInArrow(_parse, DICTIONARY_SCHEMA).write.mode("append").parquet(path)
+    # A kept dictionary may hold an entry twice if two runs extended it at the same time.
+    entries = spark.read.schema(DICTIONARY_SCHEMA).parquet(path).groupBy(*on).agg(F.first("utc_micros").alias("utc_micros"))
+    return seen.join(entries, on).select(*on, "utc_micros", "n")
 
 
 def with_instant(
@@ -67,7 +71,7 @@ def with_instant(
 ) -> DataFrame:
     """``df`` plus ``out``: the instant that ``text`` states, in microseconds since 1970 UTC.
 
-    Null, empty, very long or unreadable text gives null; rows, repeats and
+    Null, empty or unreadable text gives null; rows, repeats and
     other columns stay as they are (columns of the join are named ``_mk_*`` and
     dropped, so clashing names of ``df`` don't matter). ``zone`` is the zone of
     texts that name none (default America/Chicago); a text that names an
@@ -81,8 +85,6 @@ def with_instant(
     keyed = df.withColumns({"_mk_text": text.cast("string"), "_mk_source": F.coalesce(source, F.lit("")), "_mk_zone": zone})
     keys = keyed.select(F.col("_mk_text").alias("text"), F.col("_mk_source").alias("source"), F.col("_mk_zone").alias("zone"))
     entries = extend_dictionary(keys, path)
-    # A kept dictionary may hold an entry twice if two runs extended it at the same time.
-    entries = entries.groupBy("text", "source", "zone").agg(F.first("utc_micros").alias("utc_micros"), F.sum("n").alias("n")) if dictionary else entries
     named = entries.select(*(F.col(c).alias(f"_mk_{c}") for c in ("text", "source", "zone")), F.col("utc_micros").alias("_mk_micros"), "n")
     keep = [c for c in df.columns if c != out]
     found = lookup(keyed, named, ["_mk_text", "_mk_source", "_mk_zone"])

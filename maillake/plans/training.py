@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from maillake.operators.instants import with_instant
 from maillake.operators.packed import recipient_fields, unpack
 from maillake.operators.rejects import check_lines, check_messages
+from maillake.session import scratch_path
 from maillake.sources.tables import table
 
 
@@ -28,5 +29,14 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_instant(emails, F.col("sent_at_header"), F.col("source_system")).select("message_id", "utc_micros")
 
 
-QUERIES = {"p2_found": p2_found, "p4_found": p4_found, "p5_found": p5_found}
+def p5_two_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``p5_found`` of two runs that share a dictionary: mail by whether it is a
+    reply first, all other mail after that. The rows are those of ``p5_found``."""
+    emails = table(spark, sf_dir, "emails").select("message_id", "sent_at_header", "source_system", F.coalesce("is_reply", F.lit(False)).alias("is_reply"))
+    kept = scratch_path(spark, "kept-instants")
+    runs = [with_instant(emails.where(part), F.col("sent_at_header"), F.col("source_system"), dictionary=kept) for part in ("is_reply", "NOT is_reply")]
+    return runs[0].unionByName(runs[1]).select("message_id", "utc_micros")
+
+
+QUERIES = {"p2_found": p2_found, "p4_found": p4_found, "p5_found": p5_found, "p5_two_runs": p5_two_runs}
 ORACLES: dict[str, str] = {}

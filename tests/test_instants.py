@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from maillake.functions.instants import parse_instant
-from maillake.operators.instants import with_instant
+from maillake.operators.instants import extend_dictionary, with_instant
 
 
 def utc(*parts):
@@ -79,3 +79,19 @@ def test_empty_table(spark):
 @pytest.mark.parametrize("text", ["31 Jan 2001" + " " * 300 + "03:42 -0600", "31 Jan 2001 03:42 -0600 (" + "so it says; " * 50 + "(nested) \\) )", "(" + "x" * 300 + ") 31 Jan 2001 03:42" + "\t" * 300 + "-0600 (CST)", " " * 300 + "31 Jan 2001 03:42 (CST)"])
 def test_padded_and_commented(text):
     assert parse_instant(text)[0] == utc(2001, 1, 31, 9, 42)
+
+
+def test_counts_are_those_of_this_run(spark, tmp_path):
+    path = str(tmp_path / "dict")
+    of = lambda *ts: spark.createDataFrame([(t, "", "UTC") for t in ts], "text string, source string, zone string")
+    assert {r["text"]: r["n"] for r in extend_dictionary(of("982019977", "x"), path).collect()} == {"982019977": 1, "x": 1}
+    again = extend_dictionary(of(*["982019977"] * 5000, "y"), path).collect()
+    assert {r["text"]: r["n"] for r in again} == {"982019977": 5000, "y": 1}
+    assert spark.read.parquet(path).count() == 3
+
+
+def test_two_runs_give_the_rows_of_one(spark):
+    from maillake.plans import training
+
+    of = lambda q: sorted((r[0], r[1] or 0) for r in q(spark, "/root/testdata/sf0.001").collect())
+    assert of(training.p5_two_runs) == of(training.p5_found)
