@@ -50,7 +50,7 @@ LEAST_THREADS = 3
 #: stands in the last open paragraph, below other lines, and that in which there may be no other paragraph.
 LEAST_SENDERS, LEAST_LAST, MOST_ALONE = 10, 0.98, 0.5
 #: Mails or threads (16 bytes each) whose keys are sent to the executors; more are joined through the shuffle.
-MOST_BROADCAST = 1_000_000
+MOST_BROADCAST = 250_000
 
 _REPLY_PREFIX = re.compile(r"^(?:\s*(?:re|fw|fwd|aw|wg|tr)\s*(?:\[\d+\])?\s*:)+", re.IGNORECASE)
 _FOLD = re.compile(r"\r?\n[ \t]+")

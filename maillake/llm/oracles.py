@@ -31,6 +31,8 @@ SQL: dict[str, str] = {
     "p3_percentiles": "SELECT replier, count(*) AS n, "
     + ", ".join(f"round(quantile_cont(response_minutes, {q}), 4) AS {c}" for c, q in digests.QUANTILES.items())
     + f", 0.0::DOUBLE AS rank_error, true AS certified FROM reply_pairs WHERE {_VALUES} GROUP BY replier",
+    # Whatever the estimates are, each must be certified.
+    "p3_overall": "SELECT unnest(['all', coalesce(strftime(reply_sent_at, '%Y'), 'unknown')]) AS period, count(*) AS n, true AS certified FROM reply_pairs WHERE " + _VALUES + " GROUP BY 1",
     "p6_found": _GROUPED + "SELECT first_id, message_id AS copy_id FROM grouped WHERE message_id <> first_id",
     "p6_records": _GROUPED + "SELECT message_id, copies FROM grouped WHERE message_id = first_id",
     "p8_decoded": "SELECT doc_id, coalesce(text, '') AS decoded FROM documents",

@@ -54,19 +54,18 @@ class _Sizes:
 
 
 def _best_two(sizes: _Sizes, used: dict[int, int], gap: int) -> tuple[int, int] | None:
-    """Two available sizes with the largest sum up to ``gap`` (two pointers)."""
-    order, best, found = sizes.order, 0, None
-    free = lambda s: sizes.left[s] - used.get(s, 0)
-    lo, hi = 0, bisect.bisect_right(order, gap) - 1
-    while lo <= hi:
-        a, b = order[lo], order[hi]
-        if a + b > gap:
+    """Two items that are still free with the largest sum up to ``gap``: pointers
+    from both ends over the free sizes, of which two items are enough."""
+    free = [s for s in sizes.order[: bisect.bisect_right(sizes.order, gap)] for _ in range(min(2, sizes.left[s] - used.get(s, 0)))]
+    best, found = 0, None
+    lo, hi = 0, len(free) - 1
+    while lo < hi and best < gap:
+        total = free[lo] + free[hi]
+        if total > gap:
             hi -= 1
             continue
-        if free(a) > 0 and free(b) > 0 and (a != b or free(a) > 1) and a + b > best:
-            best, found = a + b, (a, b)
-            if best == gap:
-                break
+        if total > best:
+            best, found = total, (free[lo], free[hi])
         lo += 1
     return found
 

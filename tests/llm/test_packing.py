@@ -74,3 +74,18 @@ def test_report(spark):
     df = spark.createDataFrame([(k, 512) for k in range(5)], "doc_id int, tokens int")
     r = P.fill_report(P.pack(df, "doc_id", "tokens")).first()
     assert (r["bins"], r["pieces"], r["used"], r["fullest"]) == (2, 5, 2560, 2048)
+
+
+@settings(max_examples=500, deadline=None)
+@given(st.dictionaries(st.integers(1, 15), st.integers(1, 3), min_size=1), st.integers(1, 30), st.data())
+def test_best_two_like_all_pairs(counts, gap, data):
+    used = {s: data.draw(st.integers(0, n)) for s, n in counts.items()}
+    free = [s for s, n in counts.items() for _ in range(n - used[s])]
+    sums = [a + b for i, a in enumerate(free) for b in free[:i] if a + b <= gap]
+    got = P._best_two(P._Sizes(counts), used, gap)
+    assert (sum(got) if got else None) == max(sums, default=None)
+    assert got is None or all(counts[s] - used[s] >= got.count(s) for s in got)
+
+
+def test_pair_beside_a_size_that_is_used_up():
+    assert sum(P._best_two(P._Sizes({2: 1, 3: 1, 9: 1}), {9: 1}, 12)) == 5
