@@ -22,7 +22,7 @@ _S = r"[ \t\u00a0]"
 _LABEL = r"[a-z0-9](?:[a-z0-9-]*[a-z0-9])?"
 _LOCAL = r"[a-z0-9_](?:[a-z0-9._%+-]*[a-z0-9_])?"
 EMAIL_DOMAIN = re.compile(rf"@{_LABEL}(?:\.{_LABEL})+", re.IGNORECASE)
-EMAIL_LOCAL = re.compile(r"[a-z0-9_][a-z0-9._%+-]*$", re.IGNORECASE)
+_LOCAL_SIGNS = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789._%+-")
 # Spelled out: an "at" in brackets, or the bare word if "dot" is spelled as well.
 _DOT = rf"(?:\.|{_S}*[(\[{{]{_S}*dot{_S}*[)\]}}]{_S}*|{_S}+dot{_S}+)"
 _DOT_WORD = rf"(?:{_S}*[(\[{{]{_S}*dot{_S}*[)\]}}]{_S}*|{_S}+dot{_S}+)"
@@ -51,7 +51,7 @@ _ID_WORDS = (
 )
 ID_SHAPED = re.compile(
     r"(?<![\w-])(?:"
-    rf"9\d\d-\d\d-\d{{4}}|9\d\d{_S}\d\d{_S}\d{{4}}"  # social security, tax
+    rf"\d{{3}}-\d\d-\d{{4}}|9\d\d{_S}\d\d{_S}\d{{4}}"  # social security, tax
     rf"|[a-z]{{2}}{_S}?\d\d{_S}?\d\d{_S}?\d\d{_S}?[a-d]"  # national insurance
     r"|[a-z]\d{3}-\d{4}-\d{4}"  # driving licence
     r"|l[a-z]\d{7}|[xz][a-z]?\d{8}"  # identity card, passport
@@ -88,6 +88,20 @@ STREET_NUMBER_LAST = re.compile(
 
 # Titles before a family name.
 TITLES = ["mr", "mrs", "ms", "miss", "dr", "prof", "herr", "frau", "fräulein", "mme", "mlle", "monsieur", "madame", "señor", "señora", "sr", "sra"]
+# Common given names of several languages that are hardly ever other words; people beside the directory have such names.
+COMMON_GIVEN = frozenset(
+    "aaron abdul adriana agnieszka ahmed aisha alejandro alexander alexandra alfredo ali alice amanda amir amit amy ana andrea andreas andrew angela anil anita anja anna anne anthony antoine antonio arjun arthur barbara beatriz benjamin bernd brian bruno camille carlos "
+    "carmen caroline catherine charlotte christian christina christopher claire claudia cristina daniel daniela david deborah deepak diego dmitri dorothy eduardo edward elena elizabeth emily emma enrique eric erik esther eva fatima felipe fernando florian francisco "
+    "francois frederic friedrich gabriela georg george gerhard giovanni giulia gonzalo gregory guillaume hans hassan heather heinrich helen helga hiroshi ibrahim igor ingrid irina isabel ivan jacqueline james jan jane javier jean jennifer jessica joanna johannes john "
+    "jorge jose joseph josef juan julia juergen karen karl kateryna katherine kenji kevin kumar laura lena leonardo linda lucia luis magdalena manuel marek margaret maria marie mario martin martina mary matthew mehmet michael michel miguel mohammed monika natalia".split()
+    + "nadia nicolas nicole olga oliver olivier omar pablo patricia paul paula pedro peter philippe pierre priya rachel rafael rajesh ramon rebecca ricardo richard robert roberto sabine samuel sandra sanjay sarah sergei sofia stefan stephanie stephen sunita susan svetlana takashi tatiana thomas ursula vijay vladimir wei wolfgang yusuf".split()
+)
+# Capitalised words that follow a given name or a title without being a family name.
+_NOT_FAMILY = frozenset(
+    "and or the of to in on at for from by with is was has will can may not says said wrote asked called sent thinks if but so as who that this please thanks dear hello hi re cc "
+    "january february march april may june july august september october november december monday tuesday wednesday thursday friday saturday sunday street road avenue lane drive "
+    "company inc corp ltd bank group university school hospital college center centre president chairman speaker director secretary".split()
+)
 _TITLE = re.compile(rf"(?<![^\W_])(?:{'|'.join(TITLES)})\b\.*{_S}+", re.IGNORECASE)
 _NEXT_WORD = re.compile(rf",{_S}*([^\W\d_]+)")
 _SOFT = re.compile(r"(?<!=)=\r?\n")
@@ -136,6 +150,8 @@ class NameModel:
         self.automaton = ahocorasick.Automaton()
         for g in self.given:
             self.automaton.add_word(g, len(g))
+        for g in COMMON_GIVEN - self.given:
+            self.automaton.add_word(g, len(g))
         for t in TITLES:
             for tail in (" ", ".", "\t", "\u00a0"):
                 self.automaton.add_word(t + tail, 0)
@@ -145,8 +161,6 @@ class NameModel:
         word = r"[^\W\d_]+"
         #: Right of a given name: more given names, an initial, then the word that may be the family name.
         self.after = re.compile(rf"(?:-(?:{given_words}))?{initial}{_S}+(?P<f>{word}){_NAME_ENDS}", re.IGNORECASE)
-        #: Left of a given name: the family name and a comma.
-        self.before = re.compile(rf"(?P<f>{word}),{_S}*$")
         self.tail = re.compile(rf"(?:-(?:{given_words}))?(?:{_S}+[^\W\d_]\.)?(?![^\W\d_])", re.IGNORECASE)
         self.full = re.compile(rf"(?P<f>{word}){_NAME_ENDS}")
 
@@ -177,7 +191,7 @@ class NameModel:
                     if start < done or not ends or self._family_before(text, start) is None:
                         continue
                 m = self.after.match(text, end + 1)
-                if m and self.is_family(m["f"].lower()):
+                if m and (self.is_family(m["f"].lower()) or self._is_unlisted(text, start, end + 1, m["f"])):
                     out.append(Found("person_name", start, m.end(), f"{lower[start:end + 1]} {m['f'].lower()}"))
                     done = m.end()
                     continue
@@ -203,9 +217,33 @@ class NameModel:
                         done = f.end()
         return out
 
+    def _is_unlisted(self, text: str, start: int, end: int, family: str) -> bool:
+        """A common given name and a family name that no list has: both capitalised, or both in capitals."""
+        given = text[start:end]
+        if given.lower() in self.given or given.lower() not in COMMON_GIVEN or len(family) < 3 or family.lower() in _NOT_FAMILY:
+            return False
+        return given.istitle() and family[0].isupper() and not family.isupper() or given.isupper() and family.isupper()
+
     def _family_before(self, text: str, start: int) -> int | None:
-        m = self.before.search(text, max(0, start - 40), start)
-        return m.start("f") if m and self.is_family(m["f"].lower()) else None
+        end = start
+        while end and text[end - 1] in " \t\u00a0":
+            end -= 1
+        if not end or text[end - 1] != ",":
+            return None
+        first = end - 1
+        while first and text[first - 1].isalpha():
+            first -= 1
+        return first if first < end - 1 and self.is_family(text[first : end - 1].lower()) else None
+
+
+def _mailbox_start(text: str, at: int) -> int:
+    """Where the mailbox before the ``@`` at ``at`` begins, however long it is; ``at`` without one."""
+    start = at
+    while start and text[start - 1] in _LOCAL_SIGNS:
+        start -= 1
+    while start < at and text[start] in ".%+-":
+        start += 1
+    return start
 
 
 def _lower(text: str) -> str:
@@ -282,8 +320,8 @@ def find(text: str, names: NameModel | None) -> list[Found]:
     found: list[Found] = []
     if "@" in view:
         for m in EMAIL_DOMAIN.finditer(view):
-            if local := EMAIL_LOCAL.search(view, max(0, m.start() - 64), m.start()):
-                found.append(Found("email", local.start(), m.end(), lower[local.start() : m.end()]))
+            if (start := _mailbox_start(view, m.start())) < m.start():
+                found.append(Found("email", start, m.end(), lower[start : m.end()]))
     if " dot " in lower or "dot)" in lower or "dot]" in lower or "at)" in lower or "at]" in lower or "at}" in lower:
         for m in EMAIL_SPELLED.finditer(view):
             # With a bare "at" only what has the look of a mailbox counts, not a sentence.

@@ -14,22 +14,26 @@ from maillake.llm import surrogates as S
 from maillake.operators.lookup import lookup
 from maillake.session import materialise
 
-#: Most people of the directory of known correspondents that are sent to the executors.
-MAX_PEOPLE = 1_000_000
+#: Most given and most family names, each counted once, of the directory that are sent to the executors.
+MAX_NAMES = 1_000_000
 _BREAK = re.compile(r"\r?\n\r?\n")
 ENTITY_SCHEMA = "tbl string, row_key string, kind string, found_text string, canon string, n bigint"
 
 
-def name_model(people: DataFrame, limit: int = MAX_PEOPLE) -> E.NameModel:
+def name_model(people: DataFrame, limit: int = MAX_NAMES) -> E.NameModel:
     """Names of the directory (given_name, family_name); nulls are left out.
 
-    The directory is sent to every executor, so its size is checked: distinct
-    names beyond ``limit`` raise.
+    The distinct names are sent to every executor, so their number is checked;
+    it grows far slower than that of people. More than ``limit`` given or
+    family names raise, as names left out would leave people in the texts.
     """
-    rows = people.select("given_name", "family_name").distinct().limit(limit + 1).collect()
-    if len(rows) > limit:
-        raise ValueError(f"the directory has more than {limit} distinct names")
-    return E.NameModel([r[0] for r in rows if r[0]], [r[1] for r in rows if r[1]])
+    held = []
+    for column in ("given_name", "family_name"):
+        rows = people.select(F.lower(column)).where(F.col(column).isNotNull()).distinct().limit(limit + 1).collect()
+        if len(rows) > limit:
+            raise ValueError(f"{column} has more than {limit} distinct names")
+        held.append([r[0] for r in rows if r[0]])
+    return E.NameModel(*held)
 
 
 def body_of(message: str | None) -> str | None:
@@ -73,35 +77,57 @@ def find_entities(texts: DataFrame, names: E.NameModel) -> DataFrame:
     return texts.select("tbl", "row_key", "text", "is_message").mapInArrow(run, ENTITY_SCHEMA)
 
 
-def surrogate_table(found: DataFrame, key: bytes, rounds: int = 5) -> DataFrame:
-    """kind, canon, chosen, n of every distinct entity of ``found``.
+def surrogate_parts(parts: DataFrame, key: bytes) -> DataFrame:
+    """cls, part, chosen, n of the distinct parts of entities (cls, part, n).
 
-    Collision check over the whole corpus: a surrogate that two entities got,
-    or that is a real entity itself, is drawn again under the next tweak for
-    all but the first of them, up to ``rounds`` times; then it raises.
+    Collision check over the whole corpus: a surrogate that two parts of a class
+    got, or that is a real part itself, is drawn again under the next tweak for
+    all but the first of them, until none is left; longer words make room.
     """
-    spark = found.sparkSession
-    distinct = found.groupBy("kind", "canon").agg(F.sum("n").alias("n"))
+    spark = parts.sparkSession
 
     def draw(attempt: int):
         @F.pandas_udf("string")
-        def chosen(kind, canon):
-            return kind.combine(canon, lambda k, c: S.surrogate(k, c, key, attempt))
-
-        return chosen(F.col("kind"), F.col("canon"))
-
-    table = materialise(spark, distinct.withColumn("chosen", draw(0)), "surrogates")
-    real = table.select("kind", F.col("canon").alias("chosen"))
-    for attempt in range(1, rounds + 1):
-        shared = table.groupBy("kind", "chosen").agg(F.count("*").alias("c"), F.min("canon").alias("first")).where("c > 1").drop("c")
-        clash = table.join(shared, ["kind", "chosen"]).where("canon <> first").select("kind", "canon")
-        taken = table.join(real, ["kind", "chosen"], "left_semi").select("kind", "canon")
+        def chosen(cls, part):
+            return cls.combine(part, lambda c, p: S.draw(c, p, key, attempt))
+
+        return chosen(F.col("cls"), F.col("part"))
+
+    table = materialise(spark, parts.withColumn("chosen", draw(0)), "surrogates")
+    real = table.where(F.col("cls").isin(*S.CHECKED)).select("cls", F.col("part").alias("chosen"))
+    attempt = 0
+    while True:
+        attempt += 1
+        shared = table.where("cls <> 'number'").groupBy("cls", "chosen").agg(F.count("*").alias("c"), F.min("part").alias("first")).where("c > 1").drop("c")
+        clash = table.join(shared, ["cls", "chosen"]).where("part <> first").select("cls", "part")
+        taken = table.join(real, ["cls", "chosen"], "left_semi").select("cls", "part")
         again = materialise(spark, clash.union(taken).distinct(), "clashes")
         if again.isEmpty():
             return table
-        redone = table.join(again, ["kind", "canon"], "left_semi").withColumn("chosen", draw(attempt))
-        table = materialise(spark, table.join(again, ["kind", "canon"], "left_anti").unionByName(redone), "surrogates")
-    raise ValueError("surrogates still collide; use another key")
+        redone = table.join(again, ["cls", "part"], "left_semi").withColumn("chosen", draw(attempt))
+        table = materialise(spark, table.join(again, ["cls", "part"], "left_anti").unionByName(redone), "surrogates")
+
+
+def surrogate_table(found: DataFrame, key: bytes) -> DataFrame:
+    """kind, canon, chosen, n of every distinct entity of ``found``: put together from
+    the checked surrogates of its parts, so what shares a part shares its surrogate."""
+    spark = found.sparkSession
+    distinct = materialise(spark, found.groupBy("kind", "canon").agg(F.sum("n").alias("n")), "distinct")
+
+    @F.pandas_udf("array<struct<cls:string,part:string>>")
+    def split(kind, canon):
+        return kind.combine(canon, S.parts_of)
+
+    @F.pandas_udf("string")
+    def compose(kind, canon, chosen):
+        import pandas as pd
+
+        return pd.Series([S.compose(k, c, [x["chosen"] for x in parts]) for k, c, parts in zip(kind, canon, chosen)], dtype=object)
+
+    at = materialise(spark, distinct.select("kind", "canon", F.posexplode(split("kind", "canon")).alias("pos", "p")).select("kind", "canon", "pos", "p.*"), "parts")
+    drawn = surrogate_parts(at.groupBy("cls", "part").agg(F.count("*").alias("n")), key)
+    whole = lookup(at, drawn, ["cls", "part"]).groupBy("kind", "canon").agg(F.sort_array(F.collect_list(F.struct("pos", "chosen"))).alias("parts"))
+    return distinct.join(whole, ["kind", "canon"]).select("kind", "canon", compose("kind", "canon", "parts").alias("chosen"), "n")
 
 
 def with_surrogates(found: DataFrame, key: bytes) -> DataFrame:

@@ -14,16 +14,16 @@ from maillake.sources.tables import table
 DEMO_KEY = b"maillake-demo-key"
 
 
-def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+def p1_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every distinct mention with the surrogate that takes its place, checked over both tables."""
     names = pii.name_model(table(spark, sf_dir, "people"))
     texts = spread(pii.archive_texts(table(spark, sf_dir, "raw_emails"), table(spark, sf_dir, "emails")))
-    found = pii.with_surrogates(pii.find_entities(texts, names), DEMO_KEY)
-    return found.where(F.col("surrogate").isNotNull()).select("tbl", "row_key", "kind", "found_text").distinct()
+    return pii.with_surrogates(pii.find_entities(texts, names), DEMO_KEY).select("tbl", "row_key", "kind", "found_text", "surrogate").distinct()
 
 
-def p1_placeholders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    names = pii.name_model(table(spark, sf_dir, "people"))
-    return pii.redact(table(spark, sf_dir, "emails").select("message_id", "body_clean"), "body_clean", names)
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mentions that get a surrogate other than what stood there: all of them."""
+    return p1_mentions(spark, sf_dir).where("surrogate <> found_text").select("tbl", "row_key", "kind", "found_text").distinct()
 
 
 def _rewritten(spark: SparkSession, sf_dir: str, key: bytes | None) -> DataFrame:
@@ -32,7 +32,7 @@ def _rewritten(spark: SparkSession, sf_dir: str, key: bytes | None) -> DataFrame
     return pii.redact(texts, "text", names, key, is_message=F.col("is_message")).select("tbl", "row_key", "redacted")
 
 
-def p1_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+def p1_placeholders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Both tables' texts with placeholders."""
     return _rewritten(spark, sf_dir, None)
 
@@ -119,6 +119,6 @@ QUERIES = {
     "p3_percentiles": p3_percentiles, "p3_daily": p3_daily, "p3_overall": p3_overall,
     "p8_ids": p8_ids, "p8_decoded": p8_decoded, "p9_bins": p9_bins, "p9_fill": p9_fill,
     "p7_found": p7_found, "p7_text": p7_text, "p6_found": p6_found, "p6_records": p6_records, "p10_found": p10_found, "p10_shares": p10_shares,
-    "p1_found": p1_found, "p1_placeholders": p1_placeholders, "p1_redacted": p1_redacted, "p1_surrogates": p1_surrogates,
+    "p1_found": p1_found, "p1_mentions": p1_mentions, "p1_placeholders": p1_placeholders, "p1_surrogates": p1_surrogates,
 }
 ORACLES = SQL

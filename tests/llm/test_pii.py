@@ -97,15 +97,47 @@ def test_surrogates_are_distinct_and_shared(spark):
     assert names["SARVOBURY, ONNIS"] == f"{family.upper()}, {given.upper()}"
 
 
+def drawn_alike(monkeypatch, words):
+    """The first draw gives all of ``words`` one surrogate, and others a real word."""
+    drawn = S.draw
+    monkeypatch.setattr(pii.S, "draw", lambda cls, part, key, attempt=0: drawn(cls, part, key, attempt) if attempt or cls != "word" else "same" if part in words else words[0])
+
+
 def test_collisions_are_drawn_again(spark, monkeypatch):
-    # The first draw gives everyone the same word, and one of them a real one.
-    import maillake.llm.pii as module
+    drawn_alike(monkeypatch, ["ab", "bc"])
+    found = spark.createDataFrame([("t", "1", "person_name", c, c, 1) for c in ("ab bc", "bc cd", "cd ab", "? ab")], pii.ENTITY_SCHEMA)
+    chosen = {r["canon"]: r["chosen"] for r in pii.surrogate_table(found, KEY).collect()}
+    assert len(set(chosen.values())) == 4 and not {w for c in chosen.values() for w in c.split()} & {"ab", "bc", "cd"}
+    # "Mr Ab" keeps the family name of "Cd Ab", drawn again or not.
+    assert chosen["? ab"].split()[1] == chosen["cd ab"].split()[1] and chosen["ab bc"].split()[0] == chosen["cd ab"].split()[1]
+
 
-    real = S.surrogate
-    monkeypatch.setattr(module.S, "surrogate", lambda k, c, key, attempt=0: ("same same" if c != "c c" else "a a") if attempt == 0 else real(k, c, key, attempt))
-    found = spark.createDataFrame([("t", "1", "person_name", c, c, 1) for c in ("a a", "b b", "c c")], pii.ENTITY_SCHEMA)
+def test_mailbox_and_name_are_one_person(spark):
+    found = spark.createDataFrame([("t", "1", k, c, c, 1) for k, c in (("person_name", "jane doe"), ("email", "jane.doe7@x.example"), ("email", "d@x.example"))], pii.ENTITY_SCHEMA)
     chosen = {r["canon"]: r["chosen"] for r in pii.surrogate_table(found, KEY).collect()}
-    assert len(set(chosen.values())) == 3 and not set(chosen) & set(chosen.values())
+    local, _, domain = chosen["jane.doe7@x.example"].partition("@")
+    assert re.sub(r"\d", "", local) == chosen["jane doe"].replace(" ", ".") and chosen["d@x.example"] == f"d@{domain}" and domain != "x.example"
+
+
+@pytest.mark.parametrize("name, script", [("иван петров", "CYRILLIC"), ("ελένη παππά", "GREEK"), ("jane doe", "LATIN"), ("محمد علي", "ARABIC"), ("山田 太郎", "CJK")])
+def test_script_is_kept(name, script):
+    new = S.surrogate("person_name", name, KEY)
+    assert new != name and all(S.script_of(w) == script for w in new.split()) and len(new.split()) == 2
+    assert new == S.surrogate("person_name", name, KEY) != S.surrogate("person_name", name, b"other")
+
+
+@pytest.mark.parametrize(
+    "text, want",
+    [
+        ("Talk to Priya Raman today, or ask Miguel Keller.", ["Priya Raman", "Miguel Keller"]),
+        ("MARIA LOPEZ signed; James said so; Martin May come", ["MARIA LOPEZ"]),
+        ("record 123-45-6789", ["123-45-6789"]),
+        ("to " + "m" * 200 + ".x@y.example now", ["m" * 200 + ".x@y.example"]),
+        ("Sarvobury," + " " * 90 + "Onnis", ["Sarvobury," + " " * 90 + "Onnis"]),
+    ],
+)
+def test_beyond_the_directory_and_of_any_length(text, want):
+    assert [x for _, x in found(text)] == want
 
 
 def test_placeholders_and_clashing_names(spark):
@@ -129,20 +161,19 @@ def test_redact_writes_checked_surrogates_over_both_tables(spark, monkeypatch):
     # The first draw gives both people one surrogate, so only a check over all texts keeps them apart.
     from maillake.llm import queries
 
-    drawn = S.surrogate
     rows = {
         "people": spark.createDataFrame([(g, f) for g in GIVEN for f in FAMILY], "given_name string, family_name string"),
         "raw_emails": spark.createDataFrame([("m/1.", "From: Onnis Sarvobury\n\nAsk Onnis Sarvobury.")] * 2, "file string, message string"),
         "emails": spark.createDataFrame([("i1", "Ask Ilvette Haskimont, not Onnis Sarvobury."), ("i2", None), ("i3", "")], "message_id string, body_clean string"),
     }
     monkeypatch.setattr(queries, "table", lambda spark, d, name: rows[name])
-    monkeypatch.setattr(pii.S, "surrogate", lambda k, c, key, attempt=0: "same one" if attempt == 0 else drawn(k, c, key, attempt))
+    drawn_alike(monkeypatch, ["onnis", "ilvette", "sarvobury", "haskimont"])
     out = queries.p1_surrogates(spark, "").collect()
     got = {r["row_key"]: r["redacted"] for r in out}
     assert len(out) == 5 and got["i2"] is None and got["i3"] == ""
     one = got["m/1."].removeprefix("From: Onnis Sarvobury\n\nAsk ").rstrip(".")
     other = got["i1"].split(",")[0].removeprefix("Ask ")
     assert got["i1"] == f"Ask {other}, not {one}." and one != other and not {one, other} & {"Onnis Sarvobury", "Ilvette Haskimont"}
-    assert {r["row_key"]: r["redacted"] for r in queries.p1_redacted(spark, "").collect()} == {
+    assert {r["row_key"]: r["redacted"] for r in queries.p1_placeholders(spark, "").collect()} == {
         "m/1.": "From: Onnis Sarvobury\n\nAsk <PERSON_NAME>.", "i1": "Ask <PERSON_NAME>, not <PERSON_NAME>.", "i2": None, "i3": "",
     }
