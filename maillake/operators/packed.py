@@ -16,11 +16,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from maillake.functions import packed as P
+from maillake.session import materialise
 
-#: Fields that are one bare address; they need no choice of dialect.
+#: Fields that are one bare address: they hold no sign that delimits, so every dialect reads
+#: them as one item and the scoring would say "whole" as well.
 PLAIN = r"""^[^\s<>"'(),;:|/&]+@[^\s<>"'(),;:|/&]+$"""
-#: Value codes that the code table holds; rarer ones cost the escape. Bounds what the driver gets.
-CODE_TABLE_SIZE = 4096
+#: Value codes that the code table holds, of at most 64 signs each: a bound on what the driver
+#: gets. It is a model's size, not a limit on rows: rarer codes cost the escape, wherever they stand.
+CODE_TABLE_SIZE = 65_536
 
 
 def _collect_codes(counts: DataFrame, plain: int) -> P.CodeTable:
@@ -45,7 +48,7 @@ def learn_codes(odd: DataFrame, plain: int, rounds: int = 1) -> P.CodeTable:
 
         def items(batches: Iterator[pd.DataFrame], codes=codes) -> Iterator[pd.DataFrame]:
             for b in batches:
-                c = Counter(P.signature(i) for t in b["packed"] for i in P.cheapest(t, codes)[1])
+                c = Counter(P.code_of(P.signature(i)) for t in b["packed"] for i in P.cheapest(t, codes)[1])
                 yield pd.DataFrame({"sign": list(c), "n": list(c.values())})
 
         codes = _collect_codes(texts.mapInPandas(items, "sign string, n bigint"), plain)
@@ -65,8 +68,9 @@ def unpack(fields: DataFrame, value: str = "packed", rounds: int = 1, singles: b
     fields = fields.drop("dialect", "pos", "item")
     held = fields.where(F.col(value).isNotNull())
     is_plain = F.trim(F.col(value)).rlike(PLAIN)
-    odd = held.where(~is_plain)
-    plain = held.where(is_plain).count()
+    # Written once: two passes learn from it and one parses it.
+    odd = materialise(fields.sparkSession, held.where(~is_plain), "packed")
+    plain = held.count() - odd.count()
     codes = learn_codes(odd.select(F.col(value).alias("packed")), plain, rounds)
     at_least = 1 if singles else 2
 
@@ -75,7 +79,7 @@ def unpack(fields: DataFrame, value: str = "packed", rounds: int = 1, singles: b
         out = []
         for t in texts:
             k, items = P.cheapest(t, codes)
-            name = P.DIALECTS[k][0]
+            name = P.DIALECTS[k].name
             out.append([(name, i + 1, P.bare(x)) for i, x in enumerate(items)] if len(items) >= at_least else [])
         return pd.Series(out)
 

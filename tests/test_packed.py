@@ -1,7 +1,11 @@
+import re
+
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from maillake.functions import packed as P
-from maillake.operators.packed import unpack
+from maillake.operators.packed import PLAIN, unpack
 
 
 def frame(spark, values):
@@ -30,6 +34,37 @@ def test_dialects(spark, text, items):
     assert [r["item"] for r in got] == items and [r["pos"] for r in got] == list(range(1, len(items) + 1))
 
 
+@pytest.mark.parametrize(
+    "text, items",
+    [
+        # an escaped delimiter or quote belongs to its item
+        ('"Lee \\"Al, Bo\\" Ann" <ann@x.example>, "Roe, \\"R\\" Bo" <bo@x.example>', ["ann@x.example", "bo@x.example"]),
+        ('"Lee, ""Al, Bo"" Ann" <ann@x.example>; "Desk A, Desk B"', ["ann@x.example", "desk a, desk b"]),
+        ("'Lee, Ann' <ann@x.example>, 'Roe, Bo' <bo@x.example>", ["ann@x.example", "bo@x.example"]),
+    ],
+)
+def test_quotes_and_escapes(text, items):
+    codes = P.CodeTable({"A": 1000, "Q <A>": 100, "Q": 60, "W W <A>": 50, "'W, W' <A>": 5})
+    assert [P.bare(i) for i in P.cheapest(text, codes)[1]] == items
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet="ab@.\\;,'\" |/&-x", max_size=25))
+def test_bare_addresses_are_whole_in_any_case(text):
+    codes = P.CodeTable({"A": 100, "Q <A>": 10})
+    if re.search(PLAIN, text.strip(" ")):
+        assert P.cheapest(text, codes) == (0, [text.strip()])
+    else:
+        assert len(P.cheapest(text, codes)[1]) <= len(text)
+
+
+def test_long_codes_stand_by_their_digest():
+    sign = "W," * 100
+    codes = P.CodeTable({P.code_of(sign): 50, "W": 10})
+    assert len(P.code_of(sign)) < 40 and P.code_of("W W") == "W W"
+    assert codes.cost(sign, 200) < 8 * len(sign) / 50 + 4 < codes.cost("W;" * 100, 200)
+
+
 @pytest.mark.parametrize("text", [None, "", "   ", "a@x.example", "a@x.example ;", '"Lee, Ann" <ann@x.example>', "legal dept", ",", '"'])
 def test_one_or_none(spark, text):
     assert unpack(frame(spark, [text])).where("id = 0").count() == 0
