@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from maillake.functions import clock, headers, text
+from maillake.operators.rejects import split_rejects
 from maillake.session import materialise
 
 FIRST_YEAR, LAST_YEAR = 1998, 2002
@@ -118,14 +119,22 @@ def recipient_rows(mails: DataFrame) -> DataFrame:
     return every.groupBy("message_id", F.col("r.recipient").alias("recipient")).agg(F.max("r.recipient_type").alias("recipient_type"))
 
 
-def load_archive(raw: DataFrame, max_share: float = MAX_QUARANTINE_SHARE) -> tuple[DataFrame, DataFrame, DataFrame, dict[str, int]]:
+def load_archive(raw: DataFrame, max_share: float = MAX_QUARANTINE_SHARE, structure: bool = False) -> tuple[DataFrame, DataFrame, DataFrame, dict[str, int]]:
     """(mails, recipients, quarantine, counts): the whole flow from raw messages.
 
     The share of quarantined rows is checked before anything is handed on;
     more than ``max_share`` raises. Checked rows are written once and reused.
+    With ``structure`` messages are first checked as in ``rejects`` (quoting,
+    header lines, the break before the body), and these reasons are given.
     """
     spark = raw.sparkSession
-    judged = materialise(spark, with_reason(parse_messages(raw)), "judged")
+    if structure:
+        good, bad = split_rejects(raw.select("file", "message"), "message")
+        failed = parse_messages(bad).join(bad.select("file", "reason").distinct(), "file")
+        judged = with_reason(parse_messages(good)).unionByName(failed)
+    else:
+        judged = with_reason(parse_messages(raw))
+    judged = materialise(spark, judged, "judged")
     sizes = judged.agg(F.count("*").alias("bronze_rows"), F.count("reason").alias("quarantined_rows")).first().asDict()
     if sizes["bronze_rows"] and sizes["quarantined_rows"] / sizes["bronze_rows"] > max_share:
         raise ValueError(f"{sizes['quarantined_rows']} of {sizes['bronze_rows']} rows are quarantined; the limit is {max_share:.0%}")

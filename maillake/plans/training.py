@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from maillake.operators.instants import with_instant
 from maillake.operators.packed import recipient_fields, unpack
-from maillake.operators.rejects import check_lines, check_messages
+from maillake.operators.rejects import check_lines, check_messages, load_lines, split_rejects
 from maillake.session import scratch_path
 from maillake.sources.tables import table
 
@@ -24,6 +24,16 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return of(messages, "raw_emails", "file").unionByName(of(lines, "load_lines", "line_id")).distinct()
 
 
+def p4_loaded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows that load: messages, and lines of the mail index with their typed fields."""
+    messages, _ = split_rejects(table(spark, sf_dir, "raw_emails").select("file", "message"), "message")
+    lines = load_lines(table(spark, sf_dir, "load_lines").select("line_id", "line"))
+    none = F.lit(None)
+    return messages.select(F.lit("raw_emails").alias("tbl"), F.col("file").alias("row_key"), F.md5("message").alias("digest"), none.cast("string").alias("sent_at"), none.cast("bigint").alias("recipients")).unionByName(
+        lines.select(F.lit("load_lines").alias("tbl"), F.col("line_id").cast("string").alias("row_key"), F.md5("line").alias("digest"), F.col("fields")[2].alias("sent_at"), F.col("fields")[4].cast("bigint").alias("recipients"))
+    )
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     emails = table(spark, sf_dir, "emails").select("message_id", "sent_at_header", "source_system")
     return with_instant(emails, F.col("sent_at_header"), F.col("source_system")).select("message_id", "utc_micros")
@@ -38,5 +48,5 @@ def p5_two_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs[0].unionByName(runs[1]).select("message_id", "utc_micros")
 
 
-QUERIES = {"p2_found": p2_found, "p4_found": p4_found, "p5_found": p5_found, "p5_two_runs": p5_two_runs}
+QUERIES = {"p2_found": p2_found, "p4_found": p4_found, "p4_loaded": p4_loaded, "p5_found": p5_found, "p5_two_runs": p5_two_runs}
 ORACLES: dict[str, str] = {}

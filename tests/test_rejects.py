@@ -2,13 +2,14 @@ import csv
 import io
 import re
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
 import pyarrow as pa
 
-from maillake.operators.rejects import check_lines, check_messages, line_reasons, message_reasons, split_rejects
+from maillake.operators.rejects import LineIndex, check_lines, check_messages, existing_times, line_reasons, load_lines, message_reasons, records_of, split_rejects
 
 GOOD = "Message-ID: <1.mx@x.example>\nDate: Thu, 25 Jun 1998 21:28:11 -0700\nFrom: a@x.example\nTo: b@x.example,\n c@x.example\n\nbody: \"text\n"
 LINE = 'm/sent/1.,1.ix@x.example,1999-02-13 17:16:14,a@x.example,11,76464,"one, ""two"""'
@@ -115,8 +116,6 @@ def test_written_lines_load(rows):
 @settings(max_examples=300, deadline=None)
 @given(st.lists(st.text(alphabet='ab:\n \t"-é', max_size=20), max_size=6))
 def test_bad_header_lines_like_a_slow_parser(blocks):
-    import numpy as np
-
     blocks = [re.sub("\n+", "\n", b).strip("\n") for b in blocks]
     got = message_reasons(pa.array(blocks, pa.string()), np.ones(len(blocks), bool))
     for b, r in zip(blocks, got):
@@ -136,3 +135,54 @@ def test_empty_tables_and_long_messages(spark):
     assert check_messages(spark.createDataFrame([], "id int, message string"), ["id"]).count() == 0
     assert check_lines(spark.createDataFrame([], "line_id bigint, line string"), ["line_id"]).count() == 0
     assert reasons(spark, GOOD.replace("From:", "X: " + "y" * 300_000 + "\nFrom:")) == []
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.lists(st.text(alphabet='",a é', max_size=6), min_size=3, max_size=3), min_size=1, max_size=5))
+def test_fields_come_back(rows):
+    lines = []
+    for row in rows:
+        out = io.StringIO()
+        csv.writer(out, lineterminator="").writerow(row)
+        lines.append(out.getvalue())
+    index = LineIndex(pa.array(lines))
+    assert [list(r) for r in zip(*(index.field(k, np.arange(len(rows))).to_pylist() for k in range(3)))] == rows
+
+
+@pytest.mark.parametrize("text, there", [("2000-02-29 23:59:59", True), ("1900-02-29 00:00:00", False), ("2001-04-31 00:00:00", False), ("2001-13-01 00:00:00", False), ("2001-01-01 24:00:00", False), ("2001-01-01  0:00:00", False), ("", False), ("2001-01-01 00:00:00\n", False)])
+def test_existing_times(text, there):
+    assert existing_times(pa.array([text, "x"], pa.large_string())).tolist() == [there, False]
+
+
+def test_loaded_lines_have_fields(spark):
+    df = spark.createDataFrame([(1, LINE), (2, LINE[:-1]), (3, None)], "line_id bigint, line string")
+    assert [(r["line_id"], r["fields"][3], r["fields"][6]) for r in load_lines(df).collect()] == [(1, "a@x.example", 'one, "two"')]
+    assert load_lines(df.limit(0)).count() == 0
+
+
+def test_records_over_several_lines(spark, monkeypatch):
+    monkeypatch.setattr("maillake.operators.rejects.BLOCK_LINES", 4)
+    wanted = [["a", f"one\ntwo, {k}\n\nthree" if k % 3 else "plain", 'say "x"\n' if k % 5 == 0 else ""] for k in range(30)]
+    out = io.StringIO()
+    csv.writer(out, lineterminator="\n").writerows(wanted)
+    text = out.getvalue().removesuffix("\n").split("\n")
+    df = spark.createDataFrame([(s, k, x) for s in ("f", None) for k, x in enumerate(text)], "source string, n bigint, line string")
+    got = records_of(df, "source", "n", "line").where("source = 'f'").orderBy("n").collect()
+    assert [next(csv.reader([r["line"]], strict=True)) if "\n" not in r["line"] else next(csv.reader(io.StringIO(r["line"], newline=""))) for r in got] == wanted
+    assert sum(r["lines"] for r in got) == len(text) and records_of(df, "source", "n", "line").count() == 60
+    assert check_lines(records_of(df, "source", "n", "line"), ["n"], "line", 3, None).where("size(reasons) > 0").count() == 0
+
+
+def test_a_quote_that_is_never_closed_joins_no_file(spark):
+    df = spark.createDataFrame([("f", k, '"open' if k == 5 else "a,b,c") for k in range(50)], "source string, n bigint, line string")
+    got = records_of(df, "source", "n", "line", most_lines=10)
+    assert got.count() == 50 and check_lines(got, ["n"], "line", 3, None).where("size(reasons) > 0").count() == 1
+
+
+def test_archive_with_structure_checks(spark):
+    from maillake.operators import mail
+
+    raw = spark.createDataFrame([("m/1.", GOOD), ("m/2.", GOOD.replace("1.mx", "2.mx").replace("To: b", 'To: "B <b')), ("m/3.", None)], "file string, message string")
+    mails, _, quarantine, counts = mail.load_archive(raw, max_share=1.0, structure=True)
+    assert [r["file"] for r in mails.collect()] == ["m/1."] and counts["quarantined_rows"] == 2
+    assert {r["file"]: r["reason"].split("; ")[-1] for r in quarantine.collect()} == {"m/2.": "broken_quoting", "m/3.": "no_body_break"}
