@@ -15,6 +15,8 @@ PARSED = [
     "file", "mailbox", "message_id", "date_raw", "sent_at", "sent_at_local", "sender", "to_addresses", "cc_addresses", "bcc_addresses",
     "subject", "body", "transfer_encoding", "x_folder", "source_system",
 ]
+#: Columns that tell rows of one file apart; bodies stand in it by their hash.
+HANDLE = ["message_id", "sent_at_header", "sender", "to_addresses", "cc_addresses", "subject", "x_folder", "source_system", "body_hash"]
 CONTENT_KEY = ["sender", "sent_at", "subject", "body_hash"]
 
 
@@ -100,9 +102,9 @@ def deduplicate(mails: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     Both passes run on handles - the keys, the file and a hash of the row - and
     the rows are fetched by them at the end: no body goes through the passes.
-    Rows that are equal in all columns are one.
+    Rows that are equal in all of HANDLE are one.
     """
-    hashed = mails.withColumns({"_row": F.xxhash64(*mails.columns), "_file": F.coalesce("file", F.lit(""))})
+    hashed = mails.withColumns({"_row": F.xxhash64(*(c for c in HANDLE if c in mails.columns)), "_file": F.coalesce("file", F.lit(""))})
     by_id = lowest_file(hashed.select("message_id", *CONTENT_KEY, "file", "_file", "_row"), ["message_id"])
     by_content = lowest_file(by_id, CONTENT_KEY)
     fetch = lambda kept: hashed.join(kept.select("_file", "_row"), ["_file", "_row"], "left_semi").dropDuplicates(["_file", "_row"]).select(*mails.columns)

@@ -1,10 +1,10 @@
 """Running values within groups in time order, for groups of any size.
 
 A window over a whole group would be one task, however many rows the group has.
-Here a group is cut into seconds (rows without time by a tie-break column): the
+Here a group is cut into minutes (rows without time by a tie-break column): the
 window runs within a cut, cuts are totalled by an aggregate with partial
-results, and what came before a cut is found by windows over totals - of the
-cuts of an hour, at most 3,600, and of the hours, a calendar's worth.
+results, and what came before a cut is a window over totals - half a million
+for each year at the most, whatever the number of rows.
 """
 
 from __future__ import annotations
@@ -20,30 +20,21 @@ TIE_PREFIX = 6
 
 
 def _before_and_within(
-    df: DataFrame, keys: list[Column], at: str, order: list[Column], tie: Column, within: Callable[[WindowSpec], Column], total: Column,
-    carry: Callable[[str], Column], combine: Column,
-) -> DataFrame:
-    """``df`` plus ``_within`` (over the rows of the cut up to this one),
-    ``_near`` (earlier cuts of the hour) and ``_far`` (earlier hours).
-
-    ``total`` sums up a cut, ``combine`` the totals ``_total`` of an hour's cuts
-    in the order of ``_key.cut``. Keys go into one struct, in which nulls are
-    equal, so rows, totals and join share one partitioning.
+    df: DataFrame, keys: list[Column], at: str, order: list[Column], tie: Column, within: Callable[[WindowSpec], Column], total: Column, carry: Callable[[str], Column]
+) -> DataFrame:
+    """``df`` plus ``_within`` (over the rows of the cut up to this one) and ``_before`` (over earlier cuts).
+
+    ``total`` sums up a cut. Keys go into one struct, in which nulls are equal,
+    so rows, totals and join share one partitioning.
     """
-    seconds = F.unix_seconds(F.col(at))
     group = F.struct(*(k.alias(f"k{i}") for i, k in enumerate(keys)))
-    cut = F.when(F.col(at).isNull(), F.substring(tie.cast("string"), 1, TIE_PREFIX)).otherwise(F.lpad(F.pmod(seconds, F.lit(3600)).cast("string"), 4, "0"))
-    keyed = df.withColumn("_key", F.struct(group.alias("group"), F.floor(seconds / 3600).alias("hour"), cut.alias("cut")))
-    unbounded = (Window.unboundedPreceding, -1)
+    minute = F.floor(F.unix_seconds(F.col(at)) / 60)
+    key = F.struct(group.alias("group"), minute.alias("minute"), F.when(minute.isNull(), F.substring(tie.cast("string"), 1, TIE_PREFIX)).alias("tie"))
+    keyed = df.withColumn("_key", key)
     here = Window.partitionBy("_key").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = keyed.withColumn("_within", within(here))
-    cuts = keyed.groupBy("_key").agg(total.alias("_total"))
-    same_hour = F.struct(F.col("_key.group").alias("group"), F.col("_key.hour").alias("hour"))
-    near = cuts.withColumn("_of", same_hour).withColumn("_near", carry("_total").over(Window.partitionBy("_of").orderBy(F.asc_nulls_first("_key.cut")).rowsBetween(*unbounded)))
-    hours = cuts.groupBy(same_hour.alias("_of")).agg(combine.alias("_total"))
-    far = hours.select("_of", carry("_total").over(Window.partitionBy("_of.group").orderBy(F.asc_nulls_first("_of.hour")).rowsBetween(*unbounded)).alias("_far"))
-    before = near.join(far, "_of").select("_key", "_near", "_far")
-    return rows.join(before, "_key").drop("_key")
+    earlier = Window.partitionBy("_key.group").orderBy(F.asc_nulls_first("_key.minute"), F.asc_nulls_first("_key.tie")).rowsBetween(Window.unboundedPreceding, -1)
+    before = keyed.groupBy("_key").agg(total.alias("_total")).select("_key", carry("_total").over(earlier).alias("_before"))
+    return keyed.withColumn("_within", within(here)).join(before, "_key").drop("_key")
 
 
 def running_sum(df: DataFrame, keys: list[Column], at: str, order: list[Column], value: Column, out: str, tie: Column | None = None) -> DataFrame:
@@ -54,9 +45,8 @@ def running_sum(df: DataFrame, keys: list[Column], at: str, order: list[Column],
     group). Null keys form groups of their own.
     """
     tie = F.lit("") if tie is None else tie
-    summed = _before_and_within(df, keys, at, order, tie, lambda w: F.sum(value).over(w), F.sum(value), lambda c: F.sum(c), F.sum("_total"))
-    none = F.lit(0)
-    return summed.withColumn(out, F.col("_within") + F.coalesce("_near", none) + F.coalesce("_far", none)).drop("_within", "_near", "_far")
+    summed = _before_and_within(df, keys, at, order, tie, lambda w: F.sum(value).over(w), F.sum(value), lambda c: F.sum(c))
+    return summed.withColumn(out, F.col("_within") + F.coalesce("_before", F.lit(0))).drop("_within", "_before")
 
 
 def earlier_rows(df: DataFrame, keys: list[Column], at: str, order: list[Column], out: str, tie: Column | None = None) -> DataFrame:
@@ -67,9 +57,8 @@ def earlier_rows(df: DataFrame, keys: list[Column], at: str, order: list[Column]
 def last_seen(df: DataFrame, keys: list[Column], at: str, order: list[Column], value: str, rank: Column) -> DataFrame:
     """``df`` with ``value`` filled by the last value of the group up to this row.
 
-    ``rank`` orders the values of a second, the last of them having the least.
+    ``rank`` orders the values of a minute, the last of them having the least.
     """
     last = F.min_by(value, F.when(F.col(value).isNotNull(), rank))
-    latest = F.max_by("_total", F.when(F.col("_total").isNotNull(), F.col("_key.cut")))
-    seen = _before_and_within(df, keys, at, order, F.lit(""), lambda w: F.last(value, ignorenulls=True).over(w), last, lambda c: F.last(c, ignorenulls=True), latest)
-    return seen.withColumn(value, F.coalesce("_within", "_near", "_far")).drop("_within", "_near", "_far")
+    seen = _before_and_within(df, keys, at, order, F.lit(""), lambda w: F.last(value, ignorenulls=True).over(w), last, lambda c: F.last(c, ignorenulls=True))
+    return seen.withColumn(value, F.coalesce("_within", "_before")).drop("_within", "_before")

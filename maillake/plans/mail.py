@@ -7,13 +7,13 @@ from pyspark.sql import functions as F
 
 from maillake.functions import clock, headers, rules, text
 from maillake.operators import analytics, catalog, features, mail, priority, reports
-from maillake.session import materialise
+from maillake.session import materialise, spread
 from maillake.sources.files import null_audit
 from maillake.sources.tables import table
 
 
 def _raw(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "raw_emails")
+    return spread(table(spark, d, "raw_emails").select("file", "message", "source_path", "ingested_at"))
 
 
 def _emails(spark: SparkSession, d: str) -> DataFrame:
@@ -181,7 +181,12 @@ def reply_labels(spark, d):
 
 def content_features(spark, d):
     names = [c for c in features.FEATURES if c not in ("prior_emails_to_recipients", "prior_replies_from_recipients")]
-    return features.content_features(_emails(spark, d)).select("message_id", *names)
+    return features.content_features(_heavy(spark, d)).select("message_id", *names)
+
+
+def _heavy(spark, d):
+    """Mails for much work on each row."""
+    return spread(_emails(spark, d))
 
 
 def _edges(spark, d):
@@ -202,7 +207,7 @@ def eligible_mail(spark, d):
 
 
 def _features(spark, d):
-    e = _emails(spark, d)
+    e = _heavy(spark, d)
     return features.message_features(e, mail.recipient_rows(e), _pairs(spark, d))
 
 
