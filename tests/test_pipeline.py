@@ -1,5 +1,6 @@
 import csv
 import json
+import uuid
 from pathlib import Path
 
 import pytest
@@ -43,12 +44,17 @@ def test_whole_run(spark, tmp_path):
 
 
 def test_scratch_of_this_application_is_cleared(spark):
-    path = Path(scratch_path(spark, "x"))
-    other = path.parents[1] / "another-application" / "y"
-    for p in (path, other):
-        spark.range(3).write.parquet(str(p))
+    own = scratch_path(spark, "x")
+    other = f"{session.shared_dir(spark)}/maillake/another-application/{uuid.uuid4().hex}"
+    for path in (own, other):
+        spark.range(3).write.parquet(path)
     clear_scratch(spark)
-    assert not path.exists() and other.exists()
+    there = []
+    for path in (own, other):
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        there.append(where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where))
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    assert there == [False, True]
 
 
 def test_a_cluster_needs_a_shared_folder(spark):
