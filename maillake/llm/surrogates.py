@@ -36,6 +36,7 @@ _FEMALE = re.compile(r"(?:a|ette|beth|ine|une|one|ane|wyn|а|я|α|η)$")
 _HER_TITLES = ("mrs", "ms", "miss", "frau", "mme", "mlle", "madame", "señora", "sra")
 _WORD = re.compile(r"[^\W\d_]+")
 _DIGITS = re.compile(r"\d+")
+_PIECE = re.compile(r"[^\W\d_]+|\d+")
 
 #: Classes of parts whose surrogates are distinct and none of them a real part. Numbers are
 #: permuted, so they are distinct by themselves; where most numbers of a length are real,
@@ -182,4 +183,9 @@ def write_like(kind: str, found: str, canon: str, chosen: str) -> str:
         return _WORD.sub(lambda m: like(m[0], swap.get(m[0].lower(), m[0])) if len(m[0]) > 1 else m[0], found)
     if kind == "email":
         return chosen.upper() if found.isupper() else chosen
+    # An address word by word and number by number, so abbreviations and commas stay; not where a line break cuts a word.
+    old, new = _PIECE.findall(found), _PIECE.findall(chosen)
+    if len(old) == len(new):
+        it = iter(new)
+        return _PIECE.sub(lambda m: like(m[0], next(it)), found)
     return chosen.upper() if found.isupper() else chosen if found.islower() else chosen.title()
